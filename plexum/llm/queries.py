@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexum.llm import compression, html_cut, lines, packing, quality, tiling
+from plexum.llm import compression, html_cut, lines, neardup, packing, quality, tiling
 from plexum.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op9_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_min_cut, op3_greedy_tiling, op4_boosted_quality, op6_compression_bands, op8_line_spread, op9_config_lp_packing)
+    f.__name__: f for f in (op1_html_min_cut, op3_greedy_tiling, op4_boosted_quality, op6_compression_bands, op7_bottom_k, op8_line_spread, op9_config_lp_packing)
 }
 ORACLE_SQL: dict[str, str] = {"op8_line_spread": lines.ORACLE}
