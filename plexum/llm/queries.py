@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexum.llm import compression, html_cut, lines, neardup, packing, quality, tiling
+from plexum.llm import compression, html_cut, lines, neardup, packing, quality, repeats, tiling
 from plexum.llm.common import table
 
 
@@ -39,7 +39,11 @@ def op9_config_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_min_cut, op3_greedy_tiling, op4_boosted_quality, op6_compression_bands, op7_bottom_k, op8_line_spread, op9_config_lp_packing)
+    f.__name__: f for f in (op1_html_min_cut, op3_greedy_tiling, op4_boosted_quality, op6_compression_bands, op7_bottom_k, op8_line_spread, op9_config_lp_packing, op10_prefix_doubling)
 }
 ORACLE_SQL: dict[str, str] = {"op8_line_spread": lines.ORACLE}
