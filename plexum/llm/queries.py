@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexum.llm import compression, html_cut, lines, neardup, packing, quality, repeats, tiling
+from plexum.llm import brown, compression, html_cut, lines, neardup, packing, quality, repeats, tiling
 from plexum.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.class_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_min_cut, op3_greedy_tiling, op4_boosted_quality, op6_compression_bands, op7_bottom_k, op8_line_spread, op9_config_lp_packing, op10_prefix_doubling)
+    f.__name__: f for f in (op1_html_min_cut, op3_greedy_tiling, op4_boosted_quality, op5_brown_classes, op6_compression_bands, op7_bottom_k, op8_line_spread, op9_config_lp_packing, op10_prefix_doubling)
 }
 ORACLE_SQL: dict[str, str] = {"op8_line_spread": lines.ORACLE}
