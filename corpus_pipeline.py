@@ -1,7 +1,63 @@
-"""The corpus pipeline: STAGES in order, each over all that the stage before has kept."""
+"""The corpus pipeline: STAGES in order, each over all that the stage before has kept and written.
+
+Each function takes (spark, docs, sf_dir) and gives a DataFrame. All but the last return the columns of documents; n_chars follows the text
+that line removal leaves.
+"""
 
 from __future__ import annotations
-STAGES = []
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plexum.llm import lines, neardup, packing, quality, tiling
+from plexum.llm.common import Scratch, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the boosted trees do not reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many sites share; a text of such lines only becomes empty and stays."""
+    out = lines.remove_lines(docs, lines.boilerplate(docs))
+    length = F.when(F.col("lines_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", length).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least id."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item leaks into."""
+    return tiling.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The classifier, near copies and packing are not SQL; tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each stage's result is written and read again by the next."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexum.llm import brown, compression, html_cut, lines, neardup, packing, quality, repeats, tiling
+from plexum.llm import brown, compression, html_cut, lines, neardup, packing, quality, repeats, surrogates, tiling
 from plexum.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_cut.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_private(table(spark, sf_dir, "documents"))
+
+
 def op3_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,7 @@ def op10_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_min_cut, op3_greedy_tiling, op4_boosted_quality, op5_brown_classes, op6_compression_bands, op7_bottom_k, op8_line_spread, op9_config_lp_packing, op10_prefix_doubling)
+    f.__name__: f
+    for f in (op1_html_min_cut, op2_surrogates, op3_greedy_tiling, op4_boosted_quality, op5_brown_classes, op6_compression_bands, op7_bottom_k, op8_line_spread, op9_config_lp_packing, op10_prefix_doubling)
 }
 ORACLE_SQL: dict[str, str] = {"op8_line_spread": lines.ORACLE}
