@@ -22,6 +22,8 @@ from plexum.llm.components import components
 #: Retained values, and of a full sketch how many a pair at the threshold shares but for a chance of under 1e-9.
 K = 64
 FULL_OVERLAP = 28
+#: Lists up to this length give pairs; longer ones are compared in blocks.
+SHORT = 16
 #: Classes of one block, about.
 BLOCK = 256
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -87,6 +89,11 @@ def inverted_lists(heads: DataFrame, k: int, full: int, num: int, den: int) -> D
     return own.withColumn("room", room.cast("int")).filter(F.col("room") > 0).select("doc_id", "n", F.explode(F.slice("own", F.lit(1), F.col("room"))).alias("o")).select("o.v", "doc_id", "n")
 
 
+def _band(n: Column, num: int, den: int) -> Column:
+    """Sizes within the threshold of each other are in one band or in two that follow each other."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num)) - 1e-9).cast("int")
+
+
 def _sized(num: int, den: int) -> Column:
     return (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
 
@@ -136,17 +143,17 @@ def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k: i
     return links
 
 
-def rivals(star: DataFrame, roots: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+def rivals(placed: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Links (u, v) between classes that were held against the same first class and are still in different components.
 
-    Two classes of one list have its first class in common, so the groups by first class hold all pairs of all lists. A group is dealt
+    placed: a (the first class), doc_id, n, root. Two classes of one list have its first class in common, so the groups by first class
+    hold all pairs of all lists. A group is dealt
     into blocks of about BLOCK classes of like size, and each pair of blocks is one small task that gives only links: no pair that
     fails is ever a row.
     """
-    placed = star.select("a", F.col("b").alias("doc_id"), F.col("nb").alias("n")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     groups = placed.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") < F.col("hi"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
-    dealt = placed.join(groups.select("a", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "a").select("a", "doc_id", "root", "parts", band.cast("int").alias("band"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    band = _band(F.col("n"), num, den)
+    dealt = placed.join(groups.select("a", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "a").select("a", "doc_id", "root", "parts", band.alias("band"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
     dealt = scratch.save(dealt, "dealt")
     texts = docs.join(dealt.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     # A block meets itself, its band's later blocks, and all blocks of the next band; (x, y) and (y, x) are one task.
@@ -210,13 +217,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     heads = scratch.save(heads, "heads")
     lists = scratch.save(inverted_lists(heads, k, full, num, den), "lists")
 
-    first = lists.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select("v", F.col("f.doc_id").alias("a"), F.col("f.n").alias("na"))
-    star = lists.select("v", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(first, "v").filter(F.col("a") != F.col("b")).select("a", "na", "b", "nb").distinct()
-    star = scratch.save(star, "star")
+    first = lists.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select("v", "c", F.col("f.doc_id").alias("a"), F.col("f.n").alias("na"))
+    others = scratch.save(lists.select("v", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(first, "v").filter(F.col("a") != F.col("b")), "others")
     scratch.drop("lists")
-    links = verify(star.filter(_sized(num, den)).select("a", "b"), docs, heads, width, k, full, num, den, scratch, "star")
+    star = others.filter(_sized(num, den)).select("a", "b").distinct()
+    links = verify(star, docs, heads, width, k, full, num, den, scratch, "star")
     roots = scratch.save(components(links, scratch, "first"), "roots")
-    more = scratch.save(rivals(star, roots, docs, width, num, den, scratch), "more")
+
+    # Of lists of three and more, the classes that are still apart: pairs where a list is short, blocks where it is long.
+    apart = others.filter(F.col("c") > 2).join(roots.withColumnRenamed("node", "b"), "b", "left").select("v", "c", "a", "b", "nb", F.coalesce("root", "b").alias("root"))
+    short = apart.filter(F.col("c") <= SHORT)
+    left = short.select("v", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("root").alias("ra"))
+    right = short.select("v", "b", "nb", F.col("root").alias("rb"))
+    pairs = left.join(right, "v").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sized(num, den)).select("a", "b").distinct()
+    more = verify(pairs, docs, heads, width, k, full, num, den, scratch, "short")
+    long = scratch.save(rivals(apart.filter(F.col("c") > SHORT).select("a", F.col("b").alias("doc_id"), F.col("nb").alias("n"), "root").distinct(), docs, width, num, den, scratch), "long")
+    more = more.unionByName(long)
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).unionByName(member.select(F.col("doc_id").alias("u"), F.col("to").alias("v")))
     final = scratch.save(components(edges, scratch, "last").filter(F.col("node") != F.col("root")), "final")
     out = base.select("doc_id", F.col("n").alias("n_shingles")).join(final, base["doc_id"] == final["node"], "left")
