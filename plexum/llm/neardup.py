@@ -217,19 +217,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     heads = scratch.save(heads, "heads")
     lists = scratch.save(inverted_lists(heads, k, full, num, den), "lists")
 
-    first = lists.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select("v", "c", F.col("f.doc_id").alias("a"), F.col("f.n").alias("na"))
-    others = scratch.save(lists.select("v", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(first, "v").filter(F.col("a") != F.col("b")), "others")
+    # Sets at the threshold are of like size: a list is dealt by size, each class into its own band and the next.
+    band = _band(F.col("n"), num, den)
+    lists = lists.select("v", "doc_id", "n", F.explode(F.array(band, band + 1)).alias("g"))
+    first = lists.groupBy("v", "g").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select("v", "g", "c", F.col("f.doc_id").alias("a"), F.col("f.n").alias("na"))
+    others = scratch.save(lists.select("v", "g", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(first, ["v", "g"]).filter(F.col("a") != F.col("b")), "others")
     scratch.drop("lists")
     star = others.filter(_sized(num, den)).select("a", "b").distinct()
     links = verify(star, docs, heads, width, k, full, num, den, scratch, "star")
     roots = scratch.save(components(links, scratch, "first"), "roots")
 
     # Of lists of three and more, the classes that are still apart: pairs where a list is short, blocks where it is long.
-    apart = others.filter(F.col("c") > 2).join(roots.withColumnRenamed("node", "b"), "b", "left").select("v", "c", "a", "b", "nb", F.coalesce("root", "b").alias("root"))
+    apart = others.filter(F.col("c") > 2).join(roots.withColumnRenamed("node", "b"), "b", "left").select("v", "g", "c", "a", "b", "nb", F.coalesce("root", "b").alias("root"))
     short = apart.filter(F.col("c") <= SHORT)
-    left = short.select("v", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("root").alias("ra"))
-    right = short.select("v", "b", "nb", F.col("root").alias("rb"))
-    pairs = left.join(right, "v").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sized(num, den)).select("a", "b").distinct()
+    left = short.select("v", "g", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("root").alias("ra"))
+    right = short.select("v", "g", "b", "nb", F.col("root").alias("rb"))
+    pairs = left.join(right, ["v", "g"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sized(num, den)).select("a", "b").distinct()
     more = verify(pairs, docs, heads, width, k, full, num, den, scratch, "short")
     long = scratch.save(rivals(apart.filter(F.col("c") > SHORT).select("a", F.col("b").alias("doc_id"), F.col("nb").alias("n"), "root").distinct(), docs, width, num, den, scratch), "long")
     more = more.unionByName(long)
