@@ -155,7 +155,8 @@ def failure_map(results: DataFrame, summary: DataFrame) -> DataFrame:
     cells = results.groupBy(*CELL).agg(F.count_if(F.col("status") == "success").alias("n"))
     out = cells.join(edits_by_cell(successes(results)), list(CELL), "left").join(best_workflows(summary), list(CELL), "left")
     out = out.withColumn("mean_edits", F.coalesce("mean_edits", F.lit(0.0))).withColumn("max_edits", F.coalesce("max_edits", F.lit(0.0)))
-    two = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.2f", F.bround(c, 2)))
+    two = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.2f", F.bround(F.round(c, 9), 2)))
+    four = lambda c: F.bround(F.round(c, 9), 4)
     blind = F.col("best_sensitivity").isNull() | (F.round("best_sensitivity", 9) < S.BLIND_SENSITIVITY)
     shaky = F.coalesce(F.round("monotonicity", 9) > S.UNSTABLE_VIOLATIONS, F.lit(False)) | F.coalesce(F.round("robustness_cv", 9) > S.UNSTABLE_CV, F.lit(False))
     rules = (
@@ -168,6 +169,6 @@ def failure_map(results: DataFrame, summary: DataFrame) -> DataFrame:
     for when, name, said in reversed(rules):
         cause, note = F.when(when, name).otherwise(cause), F.when(when, said).otherwise(note)
     return out.select(
-        *CELL, cause.alias("cause"), F.bround("mean_edits", 4).alias("mean_edit_distance_raw"), F.bround("max_edits", 4).alias("max_edit_distance_raw"), F.coalesce("best_workflow", F.lit("")).alias("best_workflow"),
-        F.bround("best_sensitivity", 4).alias("best_sensitivity"), F.bround("monotonicity", 4).alias("monotonicity"), F.bround("robustness_cv", 4).alias("robustness_cv"), note.alias("note"),
+        *CELL, cause.alias("cause"), four("mean_edits").alias("mean_edit_distance_raw"), four("max_edits").alias("max_edit_distance_raw"), F.coalesce("best_workflow", F.lit("")).alias("best_workflow"),
+        four("best_sensitivity").alias("best_sensitivity"), four("monotonicity").alias("monotonicity"), four("robustness_cv").alias("robustness_cv"), note.alias("note"),
     )

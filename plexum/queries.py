@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from plexum import schema as S
 from plexum.functions.columns import rounded
-from plexum.operators import charts, evaluate
-from plexum.sources.fixtures import RESULTS_SQL, results_view
+from plexum.operators import charts, evaluate, graphs, kernels, vectors, wl
+from plexum.sources.fixtures import GRAPH_SQL, GRAPHS, NODES, RESULTS_SQL, VECTOR_SQL, graph_view, results_view, vector_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,9 +118,9 @@ fm AS (SELECT *, CASE WHEN n = 0 THEN 'inapplicable' WHEN round(max_e, 9) < 1 TH
 @query(
     _results("").rstrip()
     + f""", {_SCALED},{_FAILURES}
-SELECT dataset, perturbation, cause, round_even(mean_e, 4) AS mean_edit_distance_raw, round_even(max_e, 4) AS max_edit_distance_raw, coalesce(workflow, '') AS best_workflow, round_even(s, 4) AS best_sensitivity, round_even(m, 4) AS monotonicity, round_even(cv, 4) AS robustness_cv,
-CASE cause WHEN 'inapplicable' THEN 'no successful rows (cell skipped)' WHEN 'perturbation_starved' THEN 'max mean edits at alpha>0 = ' || format('{{:.2f}}', max_e) || ' (< 1.0)' WHEN 'method_blind' THEN 'edits occurred but best sensitivity = ' || format('{{:.2f}}', s)
-  WHEN 'unstable' THEN 'monotonicity=' || format('{{:.2f}}', m) || ', cv=' || format('{{:.2f}}', cv) ELSE 'sensitivity=' || format('{{:.2f}}', s) || ', cv=' || format('{{:.2f}}', cv) END AS note FROM fm"""
+SELECT dataset, perturbation, cause, round_even(round(mean_e, 9), 4) AS mean_edit_distance_raw, round_even(round(max_e, 9), 4) AS max_edit_distance_raw, coalesce(workflow, '') AS best_workflow, round_even(round(s, 9), 4) AS best_sensitivity, round_even(round(m, 9), 4) AS monotonicity, round_even(round(cv, 9), 4) AS robustness_cv,
+CASE cause WHEN 'inapplicable' THEN 'no successful rows (cell skipped)' WHEN 'perturbation_starved' THEN 'max mean edits at alpha>0 = ' || format('{{:.2f}}', round_even(round(max_e, 9), 2)) || ' (< 1.0)' WHEN 'method_blind' THEN 'edits occurred but best sensitivity = ' || format('{{:.2f}}', round_even(round(s, 9), 2))
+  WHEN 'unstable' THEN 'monotonicity=' || format('{{:.2f}}', round_even(round(m, 9), 2)) || ', cv=' || format('{{:.2f}}', round_even(round(cv, 9), 2)) ELSE 'sensitivity=' || format('{{:.2f}}', round_even(round(s, 9), 2)) || ', cv=' || format('{{:.2f}}', round_even(round(cv, 9), 2)) END AS note FROM fm"""
 )
 def failure_map(spark, sf_dir):
     return evaluate.failure_map(results_view(spark, sf_dir), _scaled(spark, sf_dir))
@@ -253,3 +253,336 @@ def run_resources(spark, sf_dir):
 @query()
 def bootstrap_band(spark, sf_dir):
     return charts.bootstrap_band(evaluate.successes(results_view(spark, sf_dir)))
+
+
+# Populations of graphs.
+
+_K = ["gid", "side"]
+_ORDER = "(u * 7919 + v * 104729) % 1000003, u, v"
+
+
+def _graph(body: str, ctes: str = "") -> str:
+    extra = (""",
+nb AS (SELECT gid, side, u AS node, v AS other FROM gedges UNION ALL SELECT gid, side, v, u FROM gedges),
+deg AS (SELECT n.gid, n.side, n.node, count(nb.other) AS degree FROM gnodes n LEFT JOIN nb USING (gid, side, node) GROUP BY ALL),
+tri AS (SELECT x.gid, x.side, x.u AS a, x.v AS b, y.v AS c FROM gedges x JOIN gedges y ON x.gid = y.gid AND x.side = y.side AND x.u = y.u AND x.v < y.v JOIN gedges z ON x.gid = z.gid AND x.side = z.side AND z.u = x.v AND z.v = y.v),
+corner AS (SELECT gid, side, node, count(*) AS t FROM (SELECT gid, side, unnest([a, b, c]) AS node FROM tri) GROUP BY ALL),
+tedges AS (SELECT DISTINCT gid, side, u, v FROM (SELECT gid, side, a AS u, b AS v FROM tri UNION ALL SELECT gid, side, a, c FROM tri UNION ALL SELECT gid, side, b, c FROM tri)),
+absent AS (SELECT p.gid, p.side, p.node AS u, q.node AS v FROM gnodes p JOIN gnodes q ON p.gid = q.gid AND p.side = q.side AND p.node < q.node ANTI JOIN gedges e ON e.gid = p.gid AND e.side = p.side AND e.u = p.node AND e.v = q.node),
+wedge AS (SELECT DISTINCT x.gid, x.side, x.other AS u, y.other AS v FROM nb x JOIN nb y ON x.gid = y.gid AND x.side = y.side AND x.node = y.node AND x.other < y.other ANTI JOIN gedges e ON e.gid = x.gid AND e.side = x.side AND e.u = x.other AND e.v = y.other),
+sizes AS (SELECT g.gid, g.side, g.num_nodes, count(e.u) AS num_edges FROM ggraphs g LEFT JOIN gedges e USING (gid, side) GROUP BY ALL)""")
+    return f"WITH RECURSIVE {GRAPH_SQL}{extra}{ctes}\n{body}"
+
+
+_REACH = """,
+reach AS (SELECT gid, side, node, node AS r FROM gnodes UNION SELECT n.gid, n.side, n.other, reach.r FROM reach JOIN nb n ON n.gid = reach.gid AND n.side = reach.side AND n.node = reach.node),
+comp AS (SELECT gid, side, node, min(r) AS component FROM reach GROUP BY ALL)"""
+_WALKS = f""",
+walks AS (SELECT gid, side, node AS s, node AS t, 0 AS d FROM gnodes UNION SELECT w.gid, w.side, w.s, n.other, w.d + 1 FROM walks w JOIN nb n ON n.gid = w.gid AND n.side = w.side AND n.node = w.t WHERE w.d < {NODES - 1}),
+dist AS (SELECT gid, side, s, t, min(d) AS d FROM walks GROUP BY ALL)"""
+_LOCAL = "CASE WHEN d.degree < 2 THEN 0 ELSE 2.0 * coalesce(c.t, 0) / (d.degree * (d.degree - 1)) END"
+
+
+def _order():
+    return [(F.col("u") * 7919 + F.col("v") * 104729) % 1000003, F.col("u"), F.col("v")]
+
+
+@query(_graph("SELECT gid, side, node, degree FROM deg"))
+def graph_degrees(spark, sf_dir):
+    return graphs.degrees(*graph_view(spark, sf_dir), _K)
+
+
+@query(_graph("SELECT gid, side, num_nodes, num_edges, round(2.0 * num_edges / (num_nodes * (num_nodes - 1)), 6) AS density FROM sizes"))
+def density(spark, sf_dir):
+    return graphs.density(*graph_view(spark, sf_dir), _K)
+
+
+@query(_graph("SELECT g.gid, g.side, count(t.a) AS triangles FROM ggraphs g LEFT JOIN tri t USING (gid, side) GROUP BY ALL"))
+def triangles(spark, sf_dir):
+    return graphs.triangle_counts(*graph_view(spark, sf_dir), _K)
+
+
+@query(_graph("SELECT gid, side, u, v FROM tedges"))
+def triangle_edges(spark, sf_dir):
+    return graphs.triangle_edges(graph_view(spark, sf_dir)[1], _K)
+
+
+@query(_graph("SELECT gid, side, u, v FROM wedge"))
+def open_wedges(spark, sf_dir):
+    return graphs.open_wedges(graph_view(spark, sf_dir)[1], _K)
+
+
+@query(_graph("SELECT gid, side, u, v FROM absent"))
+def non_edges(spark, sf_dir):
+    return graphs.non_edges(*graph_view(spark, sf_dir), _K)
+
+
+@query(_graph(f"SELECT d.gid, d.side, round(avg({_LOCAL}), 6) AS average_clustering FROM deg d LEFT JOIN corner c USING (gid, side, node) GROUP BY ALL"))
+def clustering(spark, sf_dir):
+    return graphs.clustering(*graph_view(spark, sf_dir), _K)
+
+
+@query(_graph("SELECT gid, side, node, component FROM comp", _REACH))
+def connected_components(spark, sf_dir):
+    return kernels.connected_components(*graph_view(spark, sf_dir), _K)
+
+
+@query(
+    _graph(
+        f"""SELECT s.gid, s.side, CAST(s.num_nodes AS DOUBLE) AS num_nodes, CAST(num_edges AS DOUBLE) AS num_edges, round(2.0 * num_edges / (s.num_nodes * (s.num_nodes - 1)), 6) AS density, round(mean_degree, 6) AS mean_degree, round(degree_variance, 6) AS degree_variance,
+  round(average_clustering, 6) AS average_clustering, CAST(triangles AS DOUBLE) AS triangles, round(coalesce(3 * triangles / nullif(wedges, 0), 0), 6) AS transitivity, CAST(k AS DOUBLE) AS components
+FROM sizes s JOIN (SELECT d.gid, d.side, avg(d.degree) AS mean_degree, var_pop(d.degree) AS degree_variance, avg({_LOCAL}) AS average_clustering, sum(coalesce(c.t, 0)) / 3 AS triangles, sum(d.degree * (d.degree - 1) / 2) AS wedges
+  FROM deg d LEFT JOIN corner c USING (gid, side, node) GROUP BY ALL) l USING (gid, side) JOIN (SELECT gid, side, count(DISTINCT component) AS k FROM comp GROUP BY ALL) n USING (gid, side)""",
+        _REACH,
+    )
+)
+def structural_statistics(spark, sf_dir):
+    return graphs.structural_statistics(*graph_view(spark, sf_dir), _K)
+
+
+@query(_graph("SELECT p.gid, p.side, p.node AS u, q.node AS v, CAST(d.d AS DOUBLE) AS distance FROM gnodes p JOIN gnodes q ON p.gid = q.gid AND p.side = q.side AND p.node < q.node LEFT JOIN dist d ON d.gid = p.gid AND d.side = p.side AND d.s = p.node AND d.t = q.node", _WALKS))
+def shortest_paths(spark, sf_dir):
+    return kernels.shortest_paths(*graph_view(spark, sf_dir), _K)
+
+
+@query(_graph("SELECT gid, side, round(sum(1 / z), 6) AS spread FROM (SELECT gid, side, s, sum(exp(-d)) AS z FROM dist GROUP BY ALL) GROUP BY ALL", _WALKS))
+def spread(spark, sf_dir):
+    return kernels.spreads(*graph_view(spark, sf_dir), _K)
+
+
+def _sides(spark, sf_dir):
+    g, e = graph_view(spark, sf_dir)
+    part = lambda d, s: d.filter(F.col("side") == s).drop("side")
+    return part(g, "original"), part(e, "original"), part(e, "perturbed")
+
+
+_OPS = """,
+eo AS (SELECT gid, u, v FROM gedges WHERE side = 'original'), ep AS (SELECT gid, u, v FROM gedges WHERE side = 'perturbed'),
+ops AS (SELECT *, 'remove' AS op FROM (SELECT * FROM eo EXCEPT SELECT * FROM ep) UNION ALL SELECT *, 'add' FROM (SELECT * FROM ep EXCEPT SELECT * FROM eo))"""
+
+
+@query(_graph("SELECT gid, op, u, v FROM ops", _OPS))
+def edit_ops(spark, sf_dir):
+    _, a, b = _sides(spark, sf_dir)
+    return graphs.edit_ops(a, b, ["gid"])
+
+
+@query(_graph("SELECT g.gid, count(o.u) AS edit_distance_raw, round(coalesce(sum(1 + CAST(du.degree AS DOUBLE) / mx * dv.degree / mx), 0), 6) AS edit_distance_weighted FROM (SELECT DISTINCT gid FROM ggraphs) g LEFT JOIN ops o USING (gid) LEFT JOIN deg du ON du.gid = o.gid AND du.side = 'original' AND du.node = o.u LEFT JOIN deg dv ON dv.gid = o.gid AND dv.side = 'original' AND dv.node = o.v LEFT JOIN (SELECT gid, nullif(max(degree), 0) AS mx FROM deg WHERE side = 'original' GROUP BY gid) m ON m.gid = o.gid GROUP BY g.gid", _OPS))
+def edit_distance(spark, sf_dir):
+    g, a, b = _sides(spark, sf_dir)
+    ops = graphs.edit_ops(a, b, ["gid"])
+    scores = graphs.degrees(g, a, ["gid"]).withColumnRenamed("degree", "score")
+    return graphs.edit_distances(g, ops, ["gid"], graphs.product_weights(ops, scores, ["gid"]))
+
+
+@query(_graph("SELECT min(num_nodes) AS node_count_min, max(num_nodes) AS node_count_max, min(num_edges) AS edge_count_min, max(num_edges) AS edge_count_max FROM sizes"))
+def graph_size_summary(spark, sf_dir):
+    return graphs.size_summary(*graph_view(spark, sf_dir), _K)
+
+
+@query(_graph("SELECT a.gid, CAST(sum(abs(a.degree - b.degree)) AS BIGINT) AS degree_l1, max(a.degree) AS max_degree_before, max(b.degree) AS max_degree_after FROM deg a JOIN deg b ON a.gid = b.gid AND a.node = b.node AND a.side = 'original' AND b.side = 'perturbed' GROUP BY a.gid"))
+def degree_l1(spark, sf_dir):
+    g, a, b = _sides(spark, sf_dir)
+    return graphs.degree_changes(graphs.degrees(g, a, ["gid"]), graphs.degrees(g, b, ["gid"]), ["gid"])
+
+
+_LABELS = ",\nlab AS (SELECT gid, side, node, node % 4 AS label FROM gnodes)"
+
+
+def _labels(g):
+    return graphs.nodes(g, _K).withColumn("label", F.col("node") % 4)
+
+
+@query(
+    _graph(
+        """SELECT s.gid, s.side, round(coalesce(w / nullif(pin, 0), 0), 6) AS intra_density, round(coalesce((num_edges - w) / nullif(n * (n - 1) / 2 - pin, 0), 0), 6) AS inter_density, round(coalesce(w / nullif(num_edges, 0), 0) - coalesce(d2 / nullif(4.0 * num_edges * num_edges, 0), 0), 6) AS modularity
+FROM sizes s JOIN (SELECT gid, side, sum(k * (k - 1) / 2) AS pin, CAST(sum(k) AS DOUBLE) AS n, sum(d * d) AS d2 FROM (SELECT l.gid, l.side, l.label, CAST(count(*) AS DOUBLE) AS k, CAST(sum(degree) AS DOUBLE) AS d FROM lab l JOIN deg USING (gid, side, node) GROUP BY ALL) GROUP BY ALL) p USING (gid, side)
+LEFT JOIN (SELECT e.gid, e.side, CAST(count(*) FILTER (WHERE e.u % 4 = e.v % 4) AS DOUBLE) AS w FROM gedges e GROUP BY ALL) i USING (gid, side)""",
+        _LABELS,
+    )
+)
+def partition_modularity(spark, sf_dir):
+    g, e = graph_view(spark, sf_dir)
+    return graphs.partition_stats(g, e, _labels(g), _K)
+
+
+def _topk(source: str, budget: str = "floor(CAST(0.3 AS DOUBLE) * num_edges)") -> str:
+    return _graph(f"SELECT gid, side, u, v FROM (SELECT x.*, row_number() OVER (PARTITION BY x.gid, x.side ORDER BY {_ORDER}) AS r, {budget} AS k FROM {source} x JOIN sizes USING (gid, side)) WHERE r <= k")
+
+
+@query(_topk("gedges"))
+def edge_deletion_topk(spark, sf_dir):
+    return graphs.edge_deletion(*graph_view(spark, sf_dir), _K, 0.3, _order())
+
+
+@query(_topk("absent"))
+def edge_insertion_topk(spark, sf_dir):
+    return graphs.edge_insertion(*graph_view(spark, sf_dir), _K, 0.3, _order())
+
+
+@query(_topk("wedge", "floor(CAST(0.3 AS DOUBLE) * greatest(1, num_edges))"))
+def triangle_insertion_topk(spark, sf_dir):
+    return graphs.triangle_insertion(*graph_view(spark, sf_dir), _K, 0.3, _order())
+
+
+@query(_topk("tedges"))
+def triangle_deletion_topk(spark, sf_dir):
+    return graphs.triangle_deletion(*graph_view(spark, sf_dir), _K, 0.3, _order())
+
+
+_HUBS = f",\nhub AS (SELECT * FROM (SELECT gid, side, node, degree, CAST(row_number() OVER (PARTITION BY gid, side ORDER BY degree DESC, node) AS INTEGER) AS place FROM deg) WHERE place <= greatest(1, ceil(CAST(0.1 AS DOUBLE) * {NODES})))"
+
+
+@query(_graph("SELECT gid, side, node, degree, place FROM hub", _HUBS))
+def hub_targets(spark, sf_dir):
+    return graphs.hubs(*graph_view(spark, sf_dir), _K)
+
+
+@query(
+    _graph(
+        f"""SELECT gid, side, 'remove' AS op, u, v FROM gone UNION ALL
+SELECT gid, side, 'add', u, v FROM (SELECT a.*, row_number() OVER (PARTITION BY a.gid, a.side ORDER BY {_ORDER}) AS r FROM absent a WHERE EXISTS (SELECT 1 FROM hub h WHERE h.gid = a.gid AND h.side = a.side AND (h.node = a.u OR h.node = a.v))) x
+WHERE r <= (SELECT count(*) FROM gone g WHERE g.gid = x.gid AND g.side = x.side)""",
+        _HUBS
+        + f""",
+gone AS (SELECT gid, side, u, v FROM (SELECT e.*, num_edges, row_number() OVER (PARTITION BY e.gid, e.side ORDER BY {_ORDER}) AS r FROM gedges e JOIN sizes USING (gid, side) WHERE EXISTS (SELECT 1 FROM hub h WHERE h.gid = e.gid AND h.side = e.side AND (h.node = e.u OR h.node = e.v))) WHERE r <= floor(CAST(0.3 AS DOUBLE) * num_edges))""",
+    )
+)
+def hub_modification_topk(spark, sf_dir):
+    return graphs.hub_modification(*graph_view(spark, sf_dir), _K, 0.3, _order())
+
+
+@query(
+    _graph(
+        f"""SELECT gid, side, o.u, o.v, n.u AS add_u, n.v AS add_v FROM
+(SELECT *, row_number() OVER (PARTITION BY gid, side ORDER BY {_ORDER}) AS r, count(*) OVER (PARTITION BY gid, side) AS m FROM gedges WHERE u % 4 = v % 4) o
+JOIN (SELECT *, row_number() OVER (PARTITION BY gid, side ORDER BY {_ORDER}) AS r FROM absent WHERE u % 4 <> v % 4) n USING (gid, side, r) WHERE r <= floor(CAST(0.3 AS DOUBLE) * m)"""
+    )
+)
+def community_rewire_candidates(spark, sf_dir):
+    g, e = graph_view(spark, sf_dir)
+    return graphs.community_rewiring(g, e, _labels(g), _K, 0.3, _order())
+
+
+_WL = """,
+l0 AS (SELECT gid, side, node, 'degree:' || degree AS label FROM deg),
+l1 AS (SELECT l.gid, l.side, l.node, sha256(l.label || '(' || coalesce(string_agg(m.label, ',' ORDER BY m.label), '') || ')') AS label FROM l0 l LEFT JOIN nb n USING (gid, side, node) LEFT JOIN l0 m ON m.gid = n.gid AND m.side = n.side AND m.node = n.other GROUP BY l.gid, l.side, l.node, l.label),
+l2 AS (SELECT l.gid, l.side, l.node, sha256(l.label || '(' || coalesce(string_agg(m.label, ',' ORDER BY m.label), '') || ')') AS label FROM l1 l LEFT JOIN nb n USING (gid, side, node) LEFT JOIN l1 m ON m.gid = n.gid AND m.side = n.side AND m.node = n.other GROUP BY l.gid, l.side, l.node, l.label),
+wl AS (SELECT gid, side, feature, count(*) AS value FROM (SELECT gid, side, 'h0:' || label AS feature FROM l0 UNION ALL SELECT gid, side, 'h1:' || label FROM l1 UNION ALL SELECT gid, side, 'h2:' || label FROM l2) GROUP BY ALL),
+ws AS (SELECT feature, coalesce(sum(value) FILTER (WHERE side = 'original'), 0) AS a, coalesce(sum(value) FILTER (WHERE side = 'perturbed'), 0) AS b FROM wl GROUP BY feature)"""
+
+
+def _wl(spark, sf_dir):
+    f = wl.wl_features(*graph_view(spark, sf_dir), _K, 2)
+    return f, f.filter("side = 'original'"), f.filter("side = 'perturbed'")
+
+
+@query(_graph("SELECT gid, side, feature, value FROM wl", _WL))
+def wl_features(spark, sf_dir):
+    return _wl(spark, sf_dir)[0]
+
+
+@query(_graph(f"SELECT round(sum((a / {GRAPHS}.0 - b / {GRAPHS}.0) * (a / {GRAPHS}.0 - b / {GRAPHS}.0)), 6) AS mmd FROM (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM ws)", _WL))
+def wl_linear_mmd(spark, sf_dir):
+    _, a, b = _wl(spark, sf_dir)
+    n = spark.createDataFrame([(0, GRAPHS)], "cell int, n long")
+    return vectors.sparse_linear_mmd(a.withColumn("cell", F.lit(0)), b.withColumn("cell", F.lit(0)), n, n, ["cell"]).drop("cell")
+
+
+@query(_graph("SELECT level, sum(a * a) AS xx, sum(b * b) AS yy, sum(a * b) AS xy, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0), 0), 6) AS cosine FROM (SELECT split_part(feature, ':', 1) AS level, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM ws) GROUP BY level", _WL))
+def wl_level_decomposition(spark, sf_dir):
+    return wl.level_parts(*_wl(spark, sf_dir)[1:])
+
+
+@query(_graph("SELECT split_part(feature, ':', 1) AS level, count(*) AS labels, round(avg(CASE WHEN a + b = 1 THEN 1.0 ELSE 0.0 END), 6) AS singleton_share, count(*) FILTER (WHERE a > 0 AND b > 0) AS shared FROM ws GROUP BY 1", _WL))
+def wl_resolution(spark, sf_dir):
+    return wl.resolution(*_wl(spark, sf_dir)[1:])
+
+
+@query(_graph("SELECT x.gid, x.side, y.gid AS other, CAST(sum(x.value * y.value) AS DOUBLE) AS k FROM wl x JOIN wl y ON x.side = y.side AND x.feature = y.feature AND x.gid <= y.gid GROUP BY ALL", _WL))
+def gram_matrix(spark, sf_dir):
+    return vectors.gram(_wl(spark, sf_dir)[0], ["side"], "gid").select("side", F.col("i").alias("gid"), F.col("j").alias("other"), "k")
+
+
+# Vectors.
+
+
+def _vec(body: str) -> str:
+    return f"WITH {VECTOR_SQL}, x AS (SELECT pair AS id, x FROM vview WHERE side = 'X'), y AS (SELECT pair AS id, x FROM vview WHERE side = 'Y')\n{body}"
+
+
+def _xy(spark, sf_dir):
+    v = vector_view(spark, sf_dir)
+    side = lambda s: v.filter(F.col("side") == s).select(F.col("pair").alias("id"), "x")
+    return side("X"), side("Y")
+
+
+def _k(p: str, q: str, h: str) -> str:
+    return f"(SELECT avg(exp(-pow(list_distance(a.x, b.x), 2) / (2 * {h} * {h}))) FROM {p} a, {q} b)"
+
+
+@query(_vec("SELECT id, round(list_distance(x.x, y.x), 6) AS distance FROM x JOIN y USING (id)"))
+def l2_pairs(spark, sf_dir):
+    return vectors.paired_distances(*_xy(spark, sf_dir))
+
+
+@query(_vec("SELECT side, i, round(avg(v), 6) AS m FROM (SELECT side, unnest(x) AS v, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS i FROM vview) GROUP BY ALL"))
+def mean_vector(spark, sf_dir):
+    return vectors.dense_mean(vector_view(spark, sf_dir), ["side"]).select("side", F.posexplode("x").alias("i", "m"))
+
+
+@query(_vec(f"SELECT round(xx, 6) AS xx, round(yy, 6) AS yy, round(xy, 6) AS xy, round(greatest(xx + yy - 2 * xy, 0), 6) AS mmd FROM (SELECT {_k('x', 'x', '10')} AS xx, {_k('y', 'y', '10')} AS yy, {_k('x', 'y', '10')} AS xy)"))
+def rbf_mmd(spark, sf_dir):
+    return vectors.rbf_mmd(*_xy(spark, sf_dir))
+
+
+@query(_vec("SELECT bandwidth, round(xx, 6) AS xx, round(yy, 6) AS yy, round(xy, 6) AS xy, round(greatest(xx + yy - 2 * xy, 0), 6) AS mmd FROM (" + " UNION ALL ".join(f"SELECT CAST({h} AS DOUBLE) AS bandwidth, {_k('x', 'x', h)} AS xx, {_k('y', 'y', h)} AS yy, {_k('x', 'y', h)} AS xy" for h in ("1.0", "5.0", "25.0")) + ")"))
+def bandwidth_sweep(spark, sf_dir):
+    return vectors.bandwidth_sweep(*_xy(spark, sf_dir), [1.0, 5.0, 25.0])
+
+
+def _row_mean(p: str, q: str) -> str:
+    return f"(SELECT a.id, avg(exp(-pow(list_distance(a.x, b.x), 2) / 200)) AS k FROM {p} a, {q} b GROUP BY a.id)"
+
+
+@query(_vec(f"SELECT id, round(xx.k + yy.k - xy.k - yx.k, 6) AS contribution FROM {_row_mean('x', 'x')} xx JOIN {_row_mean('y', 'y')} yy USING (id) JOIN {_row_mean('x', 'y')} xy USING (id) JOIN {_row_mean('y', 'x')} yx USING (id)"))
+def mmd_contributions(spark, sf_dir):
+    return vectors.mmd_contributions(*_xy(spark, sf_dir))
+
+
+_LONG = "lx AS (SELECT id, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM x), ly AS (SELECT id, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM y), mx AS (SELECT i, avg(v) AS m, avg(v * v) AS q FROM lx GROUP BY i), my AS (SELECT i, avg(v) AS m, avg(v * v) AS q FROM ly GROUP BY i)"
+
+
+def _vec_long(body: str) -> str:
+    return _vec("").rstrip() + f", {_LONG}\n{body}"
+
+
+@query(_vec_long("SELECT lx.id, round(sum((ly.v - lx.v) * (my.m - mx.m)), 6) AS contribution FROM lx JOIN ly ON lx.id = ly.id AND lx.i = ly.i JOIN mx ON mx.i = lx.i JOIN my ON my.i = lx.i GROUP BY lx.id"))
+def linear_contributions(spark, sf_dir):
+    return vectors.linear_contributions(*_xy(spark, sf_dir))
+
+
+@query(_vec_long("SELECT round(sqrt(sum((mx.m - my.m) * (mx.m - my.m))), 6) AS mean_shift FROM mx JOIN my USING (i)"))
+def linear_mmd(spark, sf_dir):
+    return vectors.mean_distance(*_xy(spark, sf_dir))
+
+
+@query(_vec_long("SELECT CAST(i - 1 AS INTEGER) AS i, round(d / sum(d) OVER (), 6) AS share FROM (SELECT i, mx.q + my.q - 2 * mx.m * my.m AS d FROM mx JOIN my USING (i))"))
+def feature_shares(spark, sf_dir):
+    return vectors.feature_shares(*_xy(spark, sf_dir))
+
+
+@query(_vec("SELECT side, round(median(d), 6) AS bandwidth FROM (SELECT a.side, list_distance(a.x, b.x) AS d FROM vview a JOIN vview b ON a.side = b.side AND a.pair < b.pair) WHERE d > 0 GROUP BY side"))
+def median_bandwidth(spark, sf_dir):
+    return vectors.median_bandwidth(vector_view(spark, sf_dir), ["side"], "pair")
+
+
+@query(_vec("SELECT side, (max(k) - min(k) <= 0.001 OR min(k) >= 0.99) AS nearly_constant FROM (SELECT a.side, exp(-pow(list_distance(a.x, b.x), 2) / 2000000) AS k FROM vview a JOIN vview b ON a.side = b.side AND a.pair < b.pair) GROUP BY side"))
+def kernel_collapse(spark, sf_dir):
+    return vectors.kernel_nearly_constant(vector_view(spark, sf_dir), ["side"], 1000.0, "pair")
+
+
+@query(_vec_long("SELECT round(s / nullif(p, 0), 6) AS coherence, round(p, 6) AS paired, round(q[1], 6) AS q10, round(q[2], 6) AS q25, round(q[3], 6) AS q50, round(q[4], 6) AS q75, round(q[5], 6) AS q90 FROM (SELECT avg(d) AS p, quantile_cont(d, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM (SELECT list_distance(x.x, y.x) AS d FROM x JOIN y USING (id))), (SELECT sqrt(sum((mx.m - my.m) * (mx.m - my.m))) AS s FROM mx JOIN my USING (i))"))
+def coherence(spark, sf_dir):
+    x, y = _xy(spark, sf_dir)
+    return vectors.coherence(vectors.paired_distances(x, y), vectors.mean_distance(x, y))
