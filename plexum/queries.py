@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plexum import schema as S
 from plexum.functions.columns import rounded
-from plexum.operators import charts, evaluate, graphs, kernels, vectors, wl
+from plexum.operators import charts, evaluate, graphs, kernels, stats, vectors, wl
 from plexum.sources.fixtures import GRAPH_SQL, GRAPHS, NODES, RESULTS_SQL, VECTOR_SQL, graph_view, results_view, vector_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -586,3 +586,132 @@ def kernel_collapse(spark, sf_dir):
 def coherence(spark, sf_dir):
     x, y = _xy(spark, sf_dir)
     return vectors.coherence(vectors.paired_distances(x, y), vectors.mean_distance(x, y))
+
+
+# Contrasts, tests and audits.
+
+_TOL = "CAST(1e-12 AS DOUBLE) * greatest(1, max(abs(s)) OVER (PARTITION BY workflow, dataset, perturbation))"
+_STEPS = f"""base AS (SELECT {_KEYS}, seed, alpha, distribution_score AS s, edit_distance_raw AS e FROM ok), tb AS (SELECT *, {_TOL} AS tol FROM base),
+steps AS (SELECT {_KEYS}, seed, tol, alpha AS alpha_low, lead(alpha) OVER w AS alpha_high, lead(s) OVER w - s AS d, lead(e) OVER w - e AS de, 'adjacent' AS contrast FROM tb WINDOW w AS (PARTITION BY {_KEYS}, seed ORDER BY alpha)),
+ends AS (SELECT {_KEYS}, seed, max(tol) AS tol, max(CASE WHEN abs(alpha - 1) < 1e-9 THEN s END) - max(CASE WHEN abs(alpha - CAST(0.1 AS DOUBLE)) < 1e-9 THEN s END) AS d FROM tb GROUP BY ALL),
+contrasts AS (SELECT {_KEYS}, seed, tol, alpha_low, alpha_high, d, contrast FROM steps WHERE alpha_high IS NOT NULL UNION ALL SELECT {_KEYS}, seed, tol, CAST(0.1 AS DOUBLE), 1.0, d, 'endpoint' FROM ends WHERE d IS NOT NULL)"""
+
+
+def _steps(body: str, more: str = "") -> str:
+    return _results("").rstrip() + f", {_STEPS}{more}\n{body}"
+
+
+def _contrasts(spark, sf_dir):
+    return stats.contrasts(evaluate.successes(results_view(spark, sf_dir)))
+
+
+@query(_steps(f"SELECT {_KEYS}, seed, contrast, alpha_low, alpha_high, round(d, 6) AS d FROM contrasts"))
+def contrasts(spark, sf_dir):
+    return _contrasts(spark, sf_dir).drop("tol")
+
+
+@query(
+    _steps(
+        f"""SELECT *, against AS opposes_nonzero, against AND 2 * greatest(positive, negative) > n AS opposes_majority FROM (SELECT {_KEYS}, contrast, alpha_low, alpha_high, round(avg(d), 6) AS mean_change, round(median(d), 6) AS median_change,
+  count(*) FILTER (WHERE d > tol) AS positive, count(*) FILTER (WHERE d < -tol) AS negative, count(*) FILTER (WHERE abs(d) <= tol) AS zero, count(*) AS n,
+  (avg(d) > max(tol) AND count(*) FILTER (WHERE d < -tol) > count(*) FILTER (WHERE d > tol)) OR (avg(d) < -max(tol) AND count(*) FILTER (WHERE d > tol) > count(*) FILTER (WHERE d < -tol)) AS against FROM contrasts GROUP BY ALL)"""
+    ).replace("SELECT *, against AS", "SELECT * EXCLUDE (n, against), against AS")
+)
+def adjacent_steps(spark, sf_dir):
+    return stats.step_summary(_contrasts(spark, sf_dir))
+
+
+@query(_steps(f"SELECT {_KEYS}, count(*) AS seeds, count(*) FILTER (WHERE falls) AS seeds_with_decrease, count(*) FILTER (WHERE NOT falls) AS seeds_nondecreasing, CAST(sum(unchanged) AS BIGINT) AS unchanged_with_more_edits FROM (SELECT {_KEYS}, seed, coalesce(bool_or(alpha_low > 0 AND d < -tol), false) AS falls, count(*) FILTER (WHERE abs(d) <= tol AND de > 1e-9) AS unchanged FROM steps WHERE d IS NOT NULL GROUP BY ALL) GROUP BY ALL"))
+def seed_granularity(spark, sf_dir):
+    return stats.seed_granularity(evaluate.successes(results_view(spark, sf_dir)))
+
+
+@query(_results(f"SELECT {_KEYS}, seed, alpha AS peak_alpha FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS}, seed ORDER BY distribution_score DESC, alpha) AS r FROM ok) WHERE r = 1"))
+def seed_peaks(spark, sf_dir):
+    return stats.first_peaks(evaluate.successes(results_view(spark, sf_dir)))
+
+
+@query(_results(f"SELECT {_KEYS}, alpha, round(avg(distribution_score), 6) AS mean, round(quantile_cont(distribution_score, 0.25), 6) AS q25, round(median(distribution_score), 6) AS median, round(quantile_cont(distribution_score, 0.75), 6) AS q75 FROM ok GROUP BY ALL"))
+def shape_quantiles(spark, sf_dir):
+    return stats.quantile_curves(evaluate.successes(results_view(spark, sf_dir)))
+
+
+_SIGNS = """,
+sg AS (SELECT workflow, dataset, perturbation, alpha_low, alpha_high, count(*) FILTER (WHERE x > t) AS positive, count(*) FILTER (WHERE x < -t) AS negative, count(*) FILTER (WHERE abs(x) <= t) AS zero
+  FROM (SELECT *, d AS x, CAST(1e-12 AS DOUBLE) * greatest(1, max(abs(d)) OVER (PARTITION BY workflow, dataset, perturbation, alpha_low, alpha_high)) AS t FROM contrasts WHERE contrast = 'adjacent') GROUP BY ALL),
+sp AS (SELECT *, CASE WHEN positive + negative = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(least(positive, negative) + 1), lambda i: CAST(factorial(CAST(positive + negative AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(positive + negative - i AS INTEGER)) AS DOUBLE))) / pow(2, positive + negative)) END AS p FROM sg)"""
+_FAMILY = ["workflow", "dataset", "perturbation", "alpha_low", "alpha_high"]
+
+
+def _sign_rows(spark, sf_dir):
+    return stats.sign_summary(_contrasts(spark, sf_dir).filter("contrast = 'adjacent'"), _FAMILY)
+
+
+@query(_steps("SELECT workflow, dataset, perturbation, alpha_low, alpha_high, positive, negative, zero, round(p, 6) AS p FROM sp", _SIGNS))
+def sign_counts(spark, sf_dir):
+    return _sign_rows(spark, sf_dir)
+
+
+@query(_steps("SELECT workflow, dataset, perturbation, alpha_low, alpha_high, round(p, 6) AS p, round(least(1, max(p * k) OVER (PARTITION BY dataset ORDER BY p, workflow, perturbation, alpha_low ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM (SELECT *, count(*) OVER (PARTITION BY dataset) - row_number() OVER (PARTITION BY dataset ORDER BY p, workflow, perturbation, alpha_low) + 1 AS k FROM (SELECT * REPLACE (round(p, 9) AS p) FROM sp))", _SIGNS))
+def holm(spark, sf_dir):
+    rows = _sign_rows(spark, sf_dir).withColumn("p", F.round("p", 9))
+    return stats.holm(rows, "p", ["dataset"], ["workflow", "perturbation", "alpha_low"]).select(*_FAMILY, "p", "p_holm")
+
+
+@query(_steps(f"SELECT {_KEYS}, n, round(m, 6) AS mean, round(q[3], 6) AS median, round(sd, 6) AS sd, round(sk, 6) AS skewness, round((q[4] + q[2] - 2 * q[3]) / nullif(q[4] - q[2], 0), 6) AS bowley, round((q[5] + q[1] - 2 * q[3]) / nullif(q[5] - q[1], 0), 6) AS tail, len(list_filter(xs, lambda x: x < q[2] - 1.5 * (q[4] - q[2]) OR x > q[4] + 1.5 * (q[4] - q[2]))) AS tukey_outliers FROM (SELECT {_KEYS}, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd, skewness(d) AS sk, quantile_cont(d, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q, list(d) AS xs FROM ends WHERE d IS NOT NULL GROUP BY ALL)"))
+def shape(spark, sf_dir):
+    return stats.shape(_contrasts(spark, sf_dir).filter("contrast = 'endpoint'"), S.SETTING).drop("constant", "excess_kurtosis").withColumn("tukey_outliers", F.col("tukey_outliers").cast("long"))
+
+
+@query(_results(f"SELECT {_KEYS}, seed, round(rho, 6) AS rho, round(b - a, 6) AS endpoint_difference FROM {_spearman('alpha', 'distribution_score', 'rho', '(SELECT * FROM ok WHERE alpha > 0)', _KEYS + ', seed')} JOIN (SELECT {_KEYS}, seed, max(CASE WHEN abs(alpha - CAST(0.1 AS DOUBLE)) < 1e-9 THEN distribution_score END) AS a, max(CASE WHEN abs(alpha - 1) < 1e-9 THEN distribution_score END) AS b FROM ok GROUP BY ALL) USING ({_KEYS}, seed)"))
+def seed_trends(spark, sf_dir):
+    return stats.seed_trends(evaluate.successes(results_view(spark, sf_dir)))
+
+
+@query(_results("SELECT dataset, perturbation, workflow, min(alpha) AS plateau_alpha FROM (SELECT *, bool_and(same) OVER (PARTITION BY dataset, perturbation, workflow ORDER BY alpha DESC) AS stays FROM (SELECT dataset, perturbation, workflow, alpha, bool_and(abs(x - z) <= 1e-10) AS same FROM (SELECT *, last(x) OVER (PARTITION BY dataset, perturbation, workflow, seed ORDER BY alpha ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM (SELECT *, floor(least(alpha, 0.6) * 10 + seed) AS x FROM ok)) GROUP BY ALL)) WHERE stays GROUP BY ALL"))
+def plateaus(spark, sf_dir):
+    rows = evaluate.successes(results_view(spark, sf_dir)).withColumn("edit_distance_raw", F.floor(F.least("alpha", F.lit(0.6)) * 10 + F.col("seed")).cast("double"))
+    return stats.plateaus(rows)
+
+
+@query(_results("SELECT workflow, round(min(distribution_score), 6) AS low, round(max(distribution_score), 6) AS high, round(max(abs(distribution_score - pow(mean_shift_score, CASE workflow WHEN 'A' THEN 2 ELSE 1 END))), 6) AS max_error FROM ok GROUP BY workflow"))
+def score_identities(spark, sf_dir):
+    return stats.score_identities(evaluate.successes(results_view(spark, sf_dir)), {"A": 2})
+
+
+@query(_results("SELECT dataset, perturbation, workflow, n_rows, count(*) AS n FROM rview GROUP BY ALL HAVING count(*) > 1"))
+def duplicate_guard(spark, sf_dir):
+    return stats.duplicate_keys(results_view(spark, sf_dir), ["dataset", "perturbation", "workflow", "n_rows"])
+
+
+@query(_results(f"SELECT k.*, a.alpha, s.seed FROM (SELECT DISTINCT {_KEYS} FROM ok) k CROSS JOIN (SELECT DISTINCT alpha FROM ok) a CROSS JOIN (SELECT DISTINCT seed FROM ok) s ANTI JOIN ok o ON o.workflow = k.workflow AND o.dataset = k.dataset AND o.perturbation = k.perturbation AND o.alpha = a.alpha AND o.seed = s.seed"))
+def grid_completeness(spark, sf_dir):
+    return stats.missing_cells(evaluate.successes(results_view(spark, sf_dir)))
+
+
+@query(
+    _results(
+        """SELECT 'not_successful' AS "check", count(*) FILTER (WHERE status <> 'success') AS n FROM rview UNION ALL SELECT 'score_not_finite', count(*) FILTER (WHERE distribution_score IS NULL OR paired_score IS NULL OR mean_shift_score IS NULL) FROM ok
+UNION ALL SELECT 'score_negative', count(*) FILTER (WHERE distribution_score < 0 OR paired_score < 0 OR mean_shift_score < 0) FROM ok UNION ALL SELECT 'edits_negative', count(*) FILTER (WHERE edit_distance_raw < 0) FROM ok
+UNION ALL SELECT 'edits_at_alpha_zero', count(*) FILTER (WHERE alpha = 0 AND edit_distance_raw <> 0) FROM ok UNION ALL SELECT 'score_at_alpha_zero', count(*) FILTER (WHERE alpha = 0 AND distribution_score > 1e-9) FROM ok
+UNION ALL SELECT 'alpha_out_of_range', count(*) FILTER (WHERE alpha NOT BETWEEN 0 AND 1) FROM rview UNION ALL SELECT 'rbf_mmd_above_two', 0 UNION ALL SELECT 'weighted_below_raw', count(*) FILTER (WHERE edit_distance_weighted < edit_distance_raw - 1e-9) FROM ok
+UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT 1 FROM rview GROUP BY dataset, perturbation, alpha, seed, workflow HAVING count(*) > 1)"""
+    )
+)
+def constraint_audit(spark, sf_dir):
+    return stats.constraint_audit(results_view(spark, sf_dir))
+
+
+@query()
+def contrast_tests(spark, sf_dir):
+    return stats.contrast_tests(_contrasts(spark, sf_dir))
+
+
+@query()
+def corrected_slots(spark, sf_dir):
+    return stats.corrected_slots(stats.contrast_tests(_contrasts(spark, sf_dir)))
+
+
+@query()
+def screen_counts(spark, sf_dir):
+    return stats.screen_counts(stats.contrast_tests(_contrasts(spark, sf_dir)))

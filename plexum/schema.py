@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-#: The results table: one row per dataset, perturbation, strength, seed and workflow.
-RESULTS = StructType.fromDDL(
+#: The results table, as DDL: one row per dataset, perturbation, strength, seed and workflow.
+RESULTS = (
     "schema_version string, code_fingerprint string, randomness_protocol string, graph_artifact string, graph_sha256 string, workflow_artifact string, workflow_sha256 string, "
     "diagnostic_seconds double, dataset string, dataset_params string, perturbation string, perturbation_params string, alpha double, seed int, workflow string, "
     "implementation_mode string, workflow_params string, perturbation_family string, perturbation_direction string, label_source string, graph_count int, node_count_min int, "
