@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plexum import schema as S
 from plexum.functions.columns import rounded
 from plexum.operators import charts, evaluate, graphs, kernels, stats, vectors, wl
+from plexum.plans import experiment
 from plexum.sources.fixtures import GRAPH_SQL, GRAPHS, NODES, RESULTS_SQL, VECTOR_SQL, graph_view, results_view, vector_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -715,3 +716,87 @@ def corrected_slots(spark, sf_dir):
 @query()
 def screen_counts(spark, sf_dir):
     return stats.screen_counts(stats.contrast_tests(_contrasts(spark, sf_dir)))
+
+
+# Kernels, generators and the run layer.
+
+
+@query()
+def netlsd_signature(spark, sf_dir):
+    return kernels.netlsd(*graph_view(spark, sf_dir), _K).select("gid", "side", F.posexplode("x").alias("i", "h"))
+
+
+@query()
+def spectra(spark, sf_dir):
+    return kernels.spectra(*graph_view(spark, sf_dir), _K)
+
+
+@query()
+def diversity_curve(spark, sf_dir):
+    return kernels.diversity(*graph_view(spark, sf_dir), _K, range(1, NODES + 1)).select("gid", "side", F.posexplode("x").alias("i", "spread"))
+
+
+@query()
+def betweenness_weights(spark, sf_dir):
+    g, a, b = _sides(spark, sf_dir)
+    ops = graphs.edit_ops(a, b, ["gid"])
+    return graphs.product_weights(ops, kernels.node_betweenness(g, a, ["gid"]), ["gid"])
+
+
+@query()
+def edge_betweenness(spark, sf_dir):
+    return kernels.edge_betweenness(*graph_view(spark, sf_dir), _K)
+
+
+@query()
+def communities(spark, sf_dir):
+    return kernels.detect_communities(*graph_view(spark, sf_dir), _K)
+
+
+@query(_graph("SELECT gid, side, d.node, d.degree, coalesce(near, '') AS near, coalesce(far, '') AS far FROM deg d LEFT JOIN (SELECT n.gid, n.side, n.node, string_agg(CAST(e.degree AS VARCHAR), ',' ORDER BY e.degree) AS near FROM nb n JOIN deg e ON e.gid = n.gid AND e.side = n.side AND e.node = n.other GROUP BY ALL) a USING (gid, side, node) LEFT JOIN (SELECT p.gid, p.side, p.node, string_agg(CAST(e.degree AS VARCHAR), ',' ORDER BY e.degree) AS far FROM (SELECT DISTINCT x.gid, x.side, x.node, y.other AS t FROM nb x JOIN nb y ON x.gid = y.gid AND x.side = y.side AND x.other = y.node AND x.node <> y.other) p JOIN deg e ON e.gid = p.gid AND e.side = p.side AND e.node = p.t GROUP BY ALL) b USING (gid, side, node)"))
+def local_signatures(spark, sf_dir):
+    out = graphs.local_signatures(*graph_view(spark, sf_dir), _K)
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("near", "far")})
+
+
+@query(_graph("SELECT gid, bool_and(a IS NOT DISTINCT FROM b) AS equal FROM (SELECT gid, sum(CASE WHEN side = 'original' THEN u * 100 + v END) AS a, sum(CASE WHEN side = 'perturbed' THEN u * 100 + v END) AS b FROM gedges GROUP BY gid) GROUP BY gid"))
+def structurally_equal(spark, sf_dir):
+    g, a, b = _sides(spark, sf_dir)
+    return graphs.structurally_equal(graphs.edge_hash(a, g, ["gid"]), graphs.edge_hash(b, g, ["gid"]), ["gid"])
+
+
+_GRID = "SELECT d.dataset, p.perturbation, a.alpha, s.seed, w.workflow FROM (SELECT DISTINCT dataset FROM rview) d, (SELECT DISTINCT perturbation FROM rview) p, (SELECT DISTINCT alpha FROM rview) a, (SELECT DISTINCT seed FROM rview) s, (SELECT DISTINCT workflow FROM rview) w"
+
+
+@query(_results(f"SELECT g.* FROM ({_GRID}) g ANTI JOIN rview r ON r.dataset = g.dataset AND r.perturbation = g.perturbation AND r.alpha = g.alpha AND r.seed = g.seed AND r.workflow = g.workflow AND r.status <> 'failed'"))
+def resume_antijoin(spark, sf_dir):
+    """The grid's cells that have no row but a failed one."""
+    blank = {c: F.lit("{}") for c in ("dataset_params", "workflow_params")}
+    done = results_view(spark, sf_dir).withColumns(blank)
+    grid = done.select("dataset").distinct()
+    for c in ("perturbation", "alpha", "seed", "workflow"):
+        grid = grid.crossJoin(done.select(c).distinct())
+    return experiment.pending(grid.withColumns(blank), done, rerun_failed=True).select("dataset", "perturbation", "alpha", "seed", "workflow")
+
+
+@query(_results("SELECT dataset, perturbation, alpha, seed, workflow, distribution_score FROM (SELECT *, row_number() OVER (PARTITION BY dataset, perturbation, alpha, seed, workflow ORDER BY shard) AS r FROM (SELECT *, 0 AS shard FROM rview WHERE seed < 4 UNION ALL SELECT * REPLACE (distribution_score + 1 AS distribution_score), 1 FROM rview WHERE seed >= 2)) WHERE r = 1"))
+def merge_dedup(spark, sf_dir):
+    """Two shards that overlap, the first one's rows winning."""
+    same = {c: F.lit("{}") for c in ("dataset_params", "workflow_params")} | {c: F.lit("x") for c in ("schema_version", "randomness_protocol", "code_fingerprint")}
+    rows = results_view(spark, sf_dir).withColumns(same)
+    out = experiment.merge_runs([rows.filter("seed < 4"), rows.filter("seed >= 2").withColumn("distribution_score", F.col("distribution_score") + 1)])
+    return out.select("dataset", "perturbation", "alpha", "seed", "workflow", "distribution_score")
+
+
+@query()
+def generated_graphs(spark, sf_dir):
+    """A small population of each family, with its structure."""
+    config = experiment.Experiment("small", experiment.default_datasets(20, 30), seeds=(0, 1))
+    rows = experiment.originals(spark, config)
+    return rows.select("dataset", "seed", "graph_index", "num_nodes", F.size("edges").alias("num_edges"))
+
+
+@query()
+def experiment_results(spark, sf_dir):
+    """The debug experiment from generation to scores; runtimes are left out, as they differ from run to run."""
+    return experiment.results(spark, experiment.debug_experiment()).select("dataset", "seed", "perturbation", "alpha", "workflow", "graph_count", "distribution_score", "mean_shift_score", "paired_score", "edit_distance_raw", "edit_distance_weighted", "status")
