@@ -229,12 +229,14 @@ def repeated_bytes(docs: DataFrame, length: int, gram: int, step: int, scratch:
     offsets = scratch.save(covered.select("g", "sig", "a", "b").unionByName(windows).groupBy("g", "sig").agg(F.collect_set(F.struct("a", "b")).alias("own")), "offsets")
     tidy("strings", "steps", "covered")
     marked = ranked.select("g", "sig", (F.col("n") > 1).alias("whole")).join(offsets, ["g", "sig"], "left").filter(F.col("whole") | F.col("own").isNotNull())
+    # Both sides of the next join are plain exchanges, so Spark can split a span that very many texts, or one text, repeat.
+    marked = scratch.save(marked, "marked")
     rows = held.join(marked, ["g", "sig"])
     part = F.transform("own", lambda x: F.struct((F.col("p") - x["b"]).alias("a"), (F.col("p") - x["a"] + length).alias("b")))
     all_of = F.array(F.struct(F.col("lo").alias("a"), (F.col("hi") + length).alias("b")))
     runs = rows.select("rk", F.explode(F.when(F.col("whole"), all_of).otherwise(part)).alias("r")).groupBy("rk").agg(F.collect_list("r").alias("runs"))
     runs = scratch.save(runs, "runs")
-    tidy("spans", "ranked", "offsets")
+    tidy("spans", "ranked", "offsets", "marked")
     return runs
 
 
