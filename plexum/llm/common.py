@@ -22,8 +22,15 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Non-empty parts of at most `rows` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str) -> DataFrame:
-    """Run fn on each Arrow batch; fn gives a dict of column lists for a batch of output rows, or None."""
+    """Run fn on parts of Arrow batches; fn gives a dict of column lists for a batch of output rows, or None."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -31,9 +38,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
     arrow = to_arrow_schema(target)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             out = fn(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plexum.llm.common import as_bytes, map_arrow
+from plexum.llm.common import as_bytes, sliced
 
 #: Distinct sites from which on a line is boilerplate.
 MIN_SITES = 8
@@ -105,10 +105,8 @@ def remove_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
 
         def run(batches):
             clean = _cleaner(h1, h2)
-            for batch in batches:
-                if batch.num_rows:
-                    got = [clean(x) for x in batch.column(at).to_pylist()]
-                    yield _with(batch, names, at, got)
+            for batch in sliced(batches):
+                yield _with(batch, names, at, [clean(x) for x in batch.column(at).to_pylist()])
 
         return docs.mapInArrow(run, schema)
     line = F.explode(F.split(docs[text_col].cast("string"), "\n", -1))
@@ -118,11 +116,10 @@ def remove_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
     joined = docs.join(lists, docs[id_col].eqNullSafe(lists["_id"]), "left").drop("_id")
 
     def run_joined(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-                got = [_cleaner(np.array(x or [], np.int64), np.array(y or [], np.int64))(t) for t, x, y in zip(batch.column(at).to_pylist(), a, b)]
-                yield _with(batch.select(range(len(names))), names, at, got)
+        for batch in sliced(batches):
+            a, b = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
+            got = [_cleaner(np.array(x or [], np.int64), np.array(y or [], np.int64))(t) for t, x, y in zip(batch.column(at).to_pylist(), a, b)]
+            yield _with(batch.select(range(len(names))), names, at, got)
 
     return joined.mapInArrow(run_joined, schema)
 

@@ -49,7 +49,7 @@ def shingles(data: bytes, width: int, cache: _Words | None = None) -> np.ndarray
     if not words:
         return np.zeros(0, np.uint64)
     cache = _Words() if cache is None else cache
-    if len(cache) > 400_000:
+    if len(cache) > 100_000:
         cache.clear()
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     base = scratch.save(sketches(docs, width, k), "sketches")
     sets = base.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size"))
+    # Written first, so that the next join has plain exchanges, which Spark can split for a text with very many copies.
+    classes = scratch.save(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size")), "classes")
     member = sets.select("doc_id", "s1", "s2").join(classes.filter(F.col("size") > 1), ["s1", "s2"]).filter(F.col("doc_id") != F.col("head")).select("doc_id", F.col("head").alias("to"))
     member = scratch.save(member.distinct(), "members")
     heads = sets.join(classes.select(F.col("head").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "n"])

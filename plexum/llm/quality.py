@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexum.llm.common import as_bytes, crc_mod, map_arrow
+from plexum.llm.common import as_bytes, crc_mod, map_arrow, sliced
 from plexum.llm.compression import text_counts
 
 #: Labelled rows that a model is fitted on at most.
@@ -179,9 +179,8 @@ def keep_good(docs: DataFrame, forest: Forest, text_col: str = "text", threshold
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            if batch.num_rows:
-                p = forest.predict(np.array([features(as_bytes(x), packer) for x in batch.column(at).to_pylist()]))
-                yield batch.filter(pa.array(p >= threshold))
+        for batch in sliced(batches):
+            p = forest.predict(np.array([features(as_bytes(x), packer) for x in batch.column(at).to_pylist()]))
+            yield batch.filter(pa.array(p >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexum.llm.common import Scratch, as_bytes
+from plexum.llm.common import Scratch, as_bytes, sliced
 
 LENGTH = 200
 GRAM = 32
@@ -102,7 +102,7 @@ def _leaders(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(g, n): how often each leader hash leads, summed within each chunk."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             for _, _, parts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
                 g, n = np.unique(spans(parts, length, gram)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["g", "n"])
@@ -112,7 +112,7 @@ def _leaders(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             for own, begin, parts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
                 data, g, p, lo, hi = spans(parts, length, gram)
                 sig = np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + length], c) for a, b, c in zip(lo.tolist(), hi.tolist(), (p - lo).tolist())), np.uint64, len(lo))
@@ -129,7 +129,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in sliced(batches):
             z = [packer.compress(as_bytes(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(z, pa.binary())], names=["rk", "doc_id", "z"])
 
@@ -143,7 +143,7 @@ def _strings(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         opener = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for z, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = opener.decompress(z)
@@ -164,7 +164,7 @@ def _steps(strings: DataFrame, length: int, gram: int, step: int) -> DataFrame:
     most = length - gram
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for g, sig, off, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 low = off - (len(s) - length)
@@ -183,7 +183,7 @@ def _windows(drawn: DataFrame, length: int) -> DataFrame:
     """(g, sig, l, w): the windows whose leader is l bytes in, for the ranges asked for."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for g, sig, off, s, own in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 for x in own:
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
 
     def run(batches):
         opener = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for z, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = opener.decompress(z)

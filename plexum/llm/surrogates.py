@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plexum.llm.common import Scratch
+from plexum.llm.common import Scratch, sliced
 
 #: Redrawn entities that are sent to every task at most; more are joined by document.
 MAX_SENT = 200_000
@@ -221,7 +221,7 @@ def _entities(docs: DataFrame, keep: list[str]) -> DataFrame:
     """A row per document and distinct entity: the columns of keep, kind, canon. docs: keep, text."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for *own, text in zip(*(batch.column(k).to_pylist() for k in range(len(keep) + 1))):
                 rows += [(*own, kind, canon) for kind, canon in dict.fromkeys(x[2:] for x in detect(text or ""))]
@@ -294,17 +294,15 @@ def replace_private(docs: DataFrame, key: bytes = b"plexum", id_col: str = "doc_
         table = {(r.kind, r.canon): r.new for r in sent}
 
         def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    yield rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [table] * batch.num_rows)
+            for batch in sliced(batches):
+                yield rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [table] * batch.num_rows)
 
         return texts.mapInArrow(run, schema)
     keyed = texts.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
     lists = _entities(keyed, ["rk"]).distinct().join(odd, ["kind", "canon"]).groupBy("rk").agg(F.collect_list(F.struct("kind", "canon", "new")).alias("own"))
 
     def run_joined(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [{(x["kind"], x["canon"]): x["new"] for x in own or ()} for own in batch.column(2).to_pylist()])
+        for batch in sliced(batches):
+            yield rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [{(x["kind"], x["canon"]): x["new"] for x in own or ()} for own in batch.column(2).to_pylist()])
 
     return keyed.join(lists, "rk", "left").select("doc_id", "text", "own").mapInArrow(run_joined, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexum.llm.common import as_bytes, map_arrow
+from plexum.llm.common import as_bytes, map_arrow, sliced
 
 #: Tokens of the shortest tile, and the share of an item's tokens that tiles must cover.
 LEAST = 5
@@ -176,9 +176,8 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def filtered(block):
         def run(batches):
             items = Items(block, least)
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch.filter(pa.array([clean(items, x) for x in batch.column(at).to_pylist()], pa.bool_()))
+            for batch in sliced(batches):
+                yield batch.filter(pa.array([clean(items, x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
         def clean(items, text):
             ids, found = items.candidates(as_bytes(text))
