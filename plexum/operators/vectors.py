@@ -150,15 +150,22 @@ def pair_distances(df: DataFrame, keys: Sequence[str] = (), id_col: str = "id",
     return _over_blocks(df, df, keys, id_col, x, rows, "d double", half=True)
 
 
+def _every(df: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells without pairs too, with nulls."""
+    return df.select(*keys).distinct().join(found, list(keys), "left") if keys else found
+
+
 def median_bandwidth(df: DataFrame, keys: Sequence[str] = (), id_col: str = "id", x: str = "x", default: float = 1.0) -> DataFrame:
     """Exact median of the positive distances of pairs; `default` without any."""
-    return pair_distances(df, keys, id_col, x).groupBy(*keys).agg(F.coalesce(F.median(F.when(F.col("d") > 0, F.col("d"))), F.lit(default)).alias("bandwidth"))
+    found = pair_distances(df, keys, id_col, x).groupBy(*keys).agg(F.median(F.when(F.col("d") > 0, F.col("d"))).alias("bandwidth"))
+    return _every(df, found, keys).fillna(default, ["bandwidth"])
 
 
 def kernel_nearly_constant(df: DataFrame, keys: Sequence[str] = (), bandwidth: float = 10.0, id_col: str = "id", x: str = "x") -> DataFrame:
-    """Whether the kernel's range over pairs is .001 or less, or its least value .99 or more."""
-    k = pair_distances(df, keys, id_col, x).withColumn("k", rbf(F.col("d") * F.col("d"), bandwidth))
-    return k.groupBy(*keys).agg(((F.max("k") - F.min("k") <= 1e-3) | (F.min("k") >= 0.99)).alias("nearly_constant"))
+    """Whether the kernel matrix, its diagonal of ones included, ranges over .001 or less or is .99 or more throughout; false for one vector."""
+    least = F.min(rbf(F.col("d") * F.col("d"), bandwidth))
+    found = pair_distances(df, keys, id_col, x).groupBy(*keys).agg(((1 - least <= 1e-3) | (least >= 0.99)).alias("nearly_constant"))
+    return _every(df, found, keys).withColumn("nearly_constant", F.coalesce("nearly_constant", F.lit(False)))
 
 
 def linear_contributions(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), id_col: str = "id", x: str = "x") -> DataFrame:

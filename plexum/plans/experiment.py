@@ -345,12 +345,14 @@ def run_experiment(spark: SparkSession, config: Experiment, out_dir: str, resume
             raise FileExistsError(path)
         done = spark.read.parquet(path)
         check_compatible(done, config)
+        # Written first: the table it is made from may be rewritten next.
         todo = pending(grid, done, rerun_failed).select(*_CELL, "workflow")
+        todo.write.mode("overwrite").parquet(f"{out_dir}/.todo")
+        wanted = spark.read.schema(todo.schema).parquet(f"{out_dir}/.todo")
         if rerun_failed:
             kept = f"{out_dir}/.kept"
             done.filter(F.col("status") != "failed").write.mode("overwrite").partitionBy("dataset", "seed").parquet(kept)
-            spark.read.parquet(kept).write.mode("overwrite").partitionBy("dataset", "seed").parquet(path)
-        wanted = spark.createDataFrame(todo.collect(), todo.schema) if todo.count() < 1_000_000 else todo
+            spark.read.schema(done.schema).parquet(kept).write.mode("overwrite").partitionBy("dataset", "seed").parquet(path)
         if wanted.isEmpty():
             return R.read_results(spark, path)
 

@@ -578,7 +578,7 @@ def median_bandwidth(spark, sf_dir):
     return vectors.median_bandwidth(vector_view(spark, sf_dir), ["side"], "pair")
 
 
-@query(_vec("SELECT side, (max(k) - min(k) <= 0.001 OR min(k) >= 0.99) AS nearly_constant FROM (SELECT a.side, exp(-pow(list_distance(a.x, b.x), 2) / 2000000) AS k FROM vview a JOIN vview b ON a.side = b.side AND a.pair < b.pair) GROUP BY side"))
+@query(_vec("SELECT side, (1 - min(k) <= 0.001 OR min(k) >= 0.99) AS nearly_constant FROM (SELECT a.side, exp(-pow(list_distance(a.x, b.x), 2) / 2000000) AS k FROM vview a JOIN vview b ON a.side = b.side AND a.pair < b.pair) GROUP BY side"))
 def kernel_collapse(spark, sf_dir):
     return vectors.kernel_nearly_constant(vector_view(spark, sf_dir), ["side"], 1000.0, "pair")
 
