@@ -29,6 +29,12 @@ def compact(graphs: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFra
     return out.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<u:int,v:int>>")))
 
 
+def spread_out(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows over a stated number of tasks. Graphs are a few bytes and much work, so tasks sized by bytes would leave cores idle."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def map_graphs(rows: DataFrame, fn: Callable[..., Iterable[tuple]], keys: Sequence[str], schema: str, extra: Sequence[str] = ()) -> DataFrame:
     """fn(n, edges, *extra) gives output tuples for each graph; keys are put before them."""
     target = StructType([rows.schema[k] for k in keys])
@@ -45,7 +51,7 @@ def map_graphs(rows: DataFrame, fn: Callable[..., Iterable[tuple]], keys: Sequen
             if out:
                 yield pd.DataFrame.from_records(out, columns=names)
 
-    return rows.select(*keys, "num_nodes", "edges", *extra).mapInPandas(run, target)
+    return spread_out(rows.select(*keys, "num_nodes", "edges", *extra), keys).mapInPandas(run, target)
 
 
 def adjacency(n: int, edges: Iterable[Edge]) -> list[set[int]]:

@@ -134,7 +134,7 @@ def originals(spark: SparkSession, config: Experiment, wanted: DataFrame | None
     byname = {d.name: d for d in config.datasets}
     units = (wanted if wanted is not None else cells(spark, config)).select("dataset", "seed").distinct()
     sizes = F.create_map(*[F.lit(x) for d in config.datasets for x in (d.name, d.graphs)])
-    units = units.select("dataset", "seed", F.explode(F.sequence(F.lit(0), sizes[F.col("dataset")] - 1)).alias("graph_index")).repartition(F.col("dataset"), F.col("seed"), F.col("graph_index"))
+    units = K.spread_out(units.select("dataset", "seed", F.explode(F.sequence(F.lit(0), sizes[F.col("dataset")] - 1)).alias("graph_index")), ["dataset", "seed", "graph_index"])
 
     def make(row):
         d = byname[row.dataset]
@@ -178,7 +178,7 @@ def pairs(base: DataFrame, config: Experiment) -> DataFrame:
 
     target = StructType.fromDDL(_PAIR)
     names = target.names
-    return base.mapInPandas(lambda it: _rows(it, make, names), target)
+    return K.spread_out(base, ["dataset", "seed", "graph_index"]).mapInPandas(lambda it: _rows(it, make, names), target)
 
 
 def structural_vector(n: int, edges: Sequence[K.Edge]) -> list[float]:
@@ -239,7 +239,7 @@ def represent(graphs: DataFrame, keys: Sequence[str], config: Experiment) -> Dat
             out.append((*key, w, dense, sparse, time.perf_counter() - start, error))
         return out
 
-    return graphs.select(*keys, "num_nodes", "edges").mapInPandas(lambda it: _rows(it, make, target.names), target)
+    return K.spread_out(graphs.select(*keys, "num_nodes", "edges"), keys).mapInPandas(lambda it: _rows(it, make, target.names), target)
 
 
 def dense_scores(x: np.ndarray, y: np.ndarray, bandwidth: float | None) -> tuple[float, float, float]:
