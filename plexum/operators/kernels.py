@@ -237,6 +237,16 @@ def spectra(graphs: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFra
     return map_graphs(compact(graphs, edges, keys), lambda n, e: [(k, float(x)) for k, x in enumerate(laplacian_spectrum(n, e))], keys, "i int, eigenvalue double")
 
 
+def trace_bands(signatures: DataFrame, keys: Sequence[str], edges: Sequence[float] = (0.1, 1.0, 10.0)) -> DataFrame:
+    """Of heat traces (x): the sum of squares over the times of each band, native after the kernel."""
+    times = F.array(*(F.lit(float(t)) for t in TIMES))
+    long = signatures.select(*keys, F.posexplode(F.zip_with("x", times, lambda h, t: F.struct(h.alias("h"), t.alias("t")))).alias("i", "s"))
+    band = F.lit(0)
+    for e in edges:
+        band = band + (F.col("s.t") >= e).cast("int")
+    return long.groupBy(*keys, band.alias("band")).agg(F.sum(F.col("s.h") * F.col("s.h")).alias("energy"))
+
+
 def contract(n: int, edges: Iterable[Edge], edge: Edge) -> tuple[int, list[Edge]]:
     """Merge the edge's higher end into the lower one; later nodes move down by one."""
     u, v = edge

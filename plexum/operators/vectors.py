@@ -198,6 +198,23 @@ def gram(df: DataFrame, keys: Sequence[str] = (), id_col: str = "id", feature: s
     return a.join(b, [*keys, feature]).filter(F.col("i") <= F.col("j")).groupBy(*keys, "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).cast("double").alias("k"))
 
 
+def gram_distances(grams: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(i, j, d2) for i < j from dot products: kii + kjj - 2 kij; vectors without a feature in common have kij = 0. One cell's ids meet each other only."""
+    own = grams.filter(F.col("i") == F.col("j"))
+    a = own.select(*keys, "i", F.col("k").alias("kii"))
+    b = own.select(*keys, F.col("i").alias("j"), F.col("k").alias("kjj"))
+    pairs = (a.join(b, list(keys)) if keys else a.crossJoin(b)).filter(F.col("i") < F.col("j"))
+    both = pairs.join(grams.select(*keys, "i", "j", "k"), [*keys, "i", "j"], "left")
+    return both.select(*keys, "i", "j", F.greatest(F.col("kii") + F.col("kjj") - 2 * F.coalesce("k", F.lit(0.0)), F.lit(0.0)).alias("d2"))
+
+
+def rbf_from_distances(d2: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """bandwidth (median of the positive distances, 1 without any) and the mean kernel over pairs i < j at that bandwidth."""
+    h = d2.groupBy(*keys).agg(F.coalesce(F.median(F.when(F.col("d2") > 0, F.sqrt("d2"))), F.lit(1.0)).alias("bandwidth"))
+    both = d2.join(h, list(keys)) if keys else d2.crossJoin(h)
+    return both.groupBy(*keys, "bandwidth").agg(F.avg(rbf(F.col("d2"), F.col("bandwidth"))).alias("kernel"))
+
+
 def feature_shares(left: DataFrame, right: DataFrame, keys: Sequence[str] = (), id_col: str = "id", x: str = "x") -> DataFrame:
     """Each component's share of the squared distances across X and Y, from its moments: no pairs are made."""
     moments = lambda d, s: d.select(*keys, F.posexplode(x).alias("i", "v")).groupBy(*keys, "i").agg(F.avg("v").alias(f"m{s}"), F.avg(F.col("v") * F.col("v")).alias(f"q{s}"))

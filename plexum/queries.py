@@ -659,9 +659,9 @@ def holm(spark, sf_dir):
     return stats.holm(rows, "p", ["dataset"], ["workflow", "perturbation", "alpha_low"]).select(*_FAMILY, "p", "p_holm")
 
 
-@query(_steps(f"SELECT {_KEYS}, n, round(m, 6) AS mean, round(q[3], 6) AS median, round(sd, 6) AS sd, round(sk, 6) AS skewness, round((q[4] + q[2] - 2 * q[3]) / nullif(q[4] - q[2], 0), 6) AS bowley, round((q[5] + q[1] - 2 * q[3]) / nullif(q[5] - q[1], 0), 6) AS tail, len(list_filter(xs, lambda x: x < q[2] - 1.5 * (q[4] - q[2]) OR x > q[4] + 1.5 * (q[4] - q[2]))) AS tukey_outliers FROM (SELECT {_KEYS}, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd, skewness(d) AS sk, quantile_cont(d, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q, list(d) AS xs FROM ends WHERE d IS NOT NULL GROUP BY ALL)"))
+@query(_steps(f"SELECT {_KEYS}, n, round(m, 6) AS mean, round(q[3], 6) AS median, round(sd, 6) AS sd, round(sk, 6) AS skewness, round((q[4] + q[2] - 2 * q[3]) / nullif(q[4] - q[2], 0), 6) AS bowley, round((q[5] + q[1] - 2 * q[3]) / nullif(q[5] - q[1], 0), 6) AS tail, CASE WHEN q[4] - q[2] > 1e-9 THEN len(list_filter(xs, lambda x: x < q[2] - 1.5 * (q[4] - q[2]) OR x > q[4] + 1.5 * (q[4] - q[2])))::DOUBLE END AS tukey_outliers FROM (SELECT {_KEYS}, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd, skewness(d) AS sk, quantile_cont(d, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q, list(d) AS xs FROM ends WHERE d IS NOT NULL GROUP BY ALL)"))
 def shape(spark, sf_dir):
-    return stats.shape(_contrasts(spark, sf_dir).filter("contrast = 'endpoint'"), S.SETTING).drop("constant", "excess_kurtosis").withColumn("tukey_outliers", F.col("tukey_outliers").cast("long"))
+    return stats.shape(_contrasts(spark, sf_dir).filter("contrast = 'endpoint'"), S.SETTING).drop("constant", "excess_kurtosis").withColumn("tukey_outliers", F.col("tukey_outliers").cast("double"))
 
 
 @query(_results(f"SELECT {_KEYS}, seed, round(rho, 6) AS rho, round(b - a, 6) AS endpoint_difference FROM {_spearman('alpha', 'distribution_score', 'rho', '(SELECT * FROM ok WHERE alpha > 0)', _KEYS + ', seed')} JOIN (SELECT {_KEYS}, seed, max(CASE WHEN abs(alpha - CAST(0.1 AS DOUBLE)) < 1e-9 THEN distribution_score END) AS a, max(CASE WHEN abs(alpha - 1) < 1e-9 THEN distribution_score END) AS b FROM ok GROUP BY ALL) USING ({_KEYS}, seed)"))
@@ -800,3 +800,40 @@ def generated_graphs(spark, sf_dir):
 def experiment_results(spark, sf_dir):
     """The debug experiment from generation to scores; runtimes are left out, as they differ from run to run."""
     return experiment.results(spark, experiment.debug_experiment()).select("dataset", "seed", "perturbation", "alpha", "workflow", "graph_count", "distribution_score", "mean_shift_score", "paired_score", "edit_distance_raw", "edit_distance_weighted", "status")
+
+
+@query(_graph("SELECT side, round(h, 6) AS bandwidth, round(avg(exp(-d2 / (2 * h * h))), 6) AS kernel FROM (SELECT p.side, p.d2, m.h FROM gd p JOIN (SELECT side, coalesce(median(sqrt(d2)) FILTER (WHERE d2 > 0), 1) AS h FROM gd GROUP BY side) m USING (side)) GROUP BY side, h", _WL + ",\ngk AS (SELECT x.side, x.gid AS i, y.gid AS j, CAST(sum(x.value * y.value) AS DOUBLE) AS k FROM wl x JOIN wl y ON x.side = y.side AND x.feature = y.feature AND x.gid <= y.gid GROUP BY ALL),\ngd AS (SELECT a.side, a.i, b.i AS j, greatest(a.k + b.k - 2 * coalesce(g.k, 0), 0) AS d2 FROM gk a JOIN gk b ON a.side = b.side AND a.i = a.j AND b.i = b.j AND a.i < b.i LEFT JOIN gk g ON g.side = a.side AND g.i = a.i AND g.j = b.i)"))
+def wl_rbf(spark, sf_dir):
+    """An RBF kernel on subtree features, through dot products, at the median distance."""
+    return vectors.rbf_from_distances(vectors.gram_distances(vectors.gram(_wl(spark, sf_dir)[0], ["side"], "gid"), ["side"]), ["side"])
+
+
+@query()
+def trace_bands(spark, sf_dir):
+    return kernels.trace_bands(kernels.netlsd(*graph_view(spark, sf_dir), _K), _K)
+
+
+@query(_graph("""SELECT g.gid, g.side, sha256(CAST(g.num_nodes AS VARCHAR) || '|' || coalesce('[' || string_agg('{"u":' || e.u || ',"v":' || e.v || '}', ',' ORDER BY e.u, e.v) || ']', '[]')) AS graph_sha256 FROM ggraphs g LEFT JOIN gedges e USING (gid, side) GROUP BY g.gid, g.side, g.num_nodes"""))
+def graph_hashes(spark, sf_dir):
+    g, e = graph_view(spark, sf_dir)
+    return graphs.edge_hash(e, g, _K)
+
+
+@query(_graph("SELECT side AS split, count(*) AS records, count(*) - count(DISTINCT gid) AS duplicates, min(num_nodes) AS num_nodes_min, CAST(median(num_nodes) AS DOUBLE) AS num_nodes_median, max(num_nodes) AS num_nodes_max, min(num_edges) AS num_edges_min, CAST(median(num_edges) AS DOUBLE) AS num_edges_median, max(num_edges) AS num_edges_max FROM sizes GROUP BY side"))
+def cache_audit(spark, sf_dir):
+    d = graphs.density(*graph_view(spark, sf_dir), _K).withColumnsRenamed({"side": "split", "gid": "source_id"})
+    return stats.cache_audit(d)
+
+
+@query(_results("SELECT dataset, perturbation, array_to_string(list_sort(list_distinct(list(status || ' at ' || CAST(seed AS VARCHAR)))), '; ') AS error_message FROM rview WHERE status <> 'failed' GROUP BY ALL HAVING bool_and(status = 'skipped')"))
+def skip_errors(spark, sf_dir):
+    rows = results_view(spark, sf_dir).filter("status <> 'failed'").withColumn("error_message", F.concat("status", F.lit(" at "), F.col("seed").cast("string")))
+    return graphs.skip_errors(rows, ["dataset", "perturbation"])
+
+
+@query(_results("SELECT dataset, perturbation, alpha, round(sum(edit_distance_raw), 6) AS edit_distance_raw, arg_min(CASE WHEN seed > 1 THEN workflow END, seed) FILTER (WHERE seed > 1) AS label_source FROM (SELECT *, row_number() OVER (PARTITION BY dataset, perturbation, alpha, seed ORDER BY workflow) AS r FROM ok) WHERE r = 1 GROUP BY ALL"))
+def perturbation_summary(spark, sf_dir):
+    """Cell sums of edits, and of labels the first that is there in order."""
+    rows = evaluate.successes(results_view(spark, sf_dir)).groupBy("dataset", "perturbation", "alpha", "seed").agg(F.min(F.struct("workflow", "edit_distance_raw")).alias("f"))
+    rows = rows.select("dataset", "perturbation", "alpha", F.col("seed").alias("graph_index"), F.col("f.edit_distance_raw").alias("edit_distance_raw"), F.when(F.col("seed") > 1, F.col("f.workflow")).alias("label_source"), F.lit(None).cast("string").alias("perturbation_family"), F.lit(None).cast("string").alias("perturbation_direction"))
+    return graphs.perturbation_summary(rows, ["dataset", "perturbation", "alpha"], ["edit_distance_raw"]).select("dataset", "perturbation", "alpha", "edit_distance_raw", "label_source")

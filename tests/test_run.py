@@ -159,3 +159,17 @@ def test_stream(spark, whole, tmp_path):
         rows.filter("seed >= 2").write.mode("append").parquet(f"{tmp_path}/in")
     stream_results(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert scores(spark.read.parquet(f"{tmp_path}/out")) == scores(rows) and spark.read.parquet(f"{tmp_path}/out").count() == 96
+
+
+def test_own_workflow(spark):
+    E.register_workflow("edge_count", lambda n, edges, options: [float(len(edges))])
+    E.register_workflow("degree_counts", lambda n, edges, options: {f"d{d}": 1.0 for d in {len(x) for x in E.K.adjacency(n, edges)}})
+    try:
+        df = E.results(spark, replace(TINY, workflows=("edge_count", "degree_counts"), seeds=(0,), perturbations=("edge_deletion",)))
+        rows = df.collect()
+        assert len(rows) == 12 and {r.status for r in rows} == {"success"}
+        assert all(r.mean_shift_score == pytest.approx(r.edit_distance_raw) for r in rows if r.workflow == "edge_count")
+    finally:
+        E.CUSTOM.clear()
+    with pytest.raises(ValueError):
+        E.register_workflow("native_netlsd", len)
