@@ -10,12 +10,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexum.shipping import ship
+
 #: Bytes that separate words: the space and U+0009 to U+000D; bytes.split() splits at just these.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+#: Rows of an Arrow batch. Texts are long: at Spark's default of 10,000 rows batches take hundreds of MB outside the heap.
+ARROW_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The package on the executors, and small Arrow batches unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def as_bytes(text: str | None) -> bytes:
@@ -61,6 +75,7 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage; drop() removes one, and all go when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        prepared(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/plexum-{tag}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
