@@ -103,6 +103,7 @@ def evaluation_summary(results: DataFrame) -> DataFrame:
     return out.select(*S.SUMMARY_COLUMNS, "mean_shift_duplicates_distribution")
 
 
+# Cut-offs of the labels.
 CORRELATION = ((0.90, "Very high"), (0.75, "High"), (0.50, "Medium"))
 VIOLATIONS = ((0.05, "Very high"), (0.15, "High"), (0.30, "Medium"))
 ROBUSTNESS = ((0.10, "Very high"), (0.20, "High"), (0.35, "Medium"))

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The cache's record and manifest formats.
 RECORD = "source_id string, num_nodes int, atom_types array<int>, edges array<array<int>>, bond_types array<int>"
 SCHEMA_NAME = "zinc_topology_cache_v1"
 

@@ -99,6 +99,7 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+# The default `legacy` names are fixed values: labels of two retired perturbations in old tables.
 def prepare(df: DataFrame, datasets: Sequence[str] | None = None, perturbations: Sequence[str] | None = None, workflows: Sequence[str] | None = None, score: str = "distribution_score", legacy: Sequence[str] = ("edge_addition_deletion", "triangle_injection_removal")) -> DataFrame:
     """Rows for charts: successful, with a finite score, of the chosen values, without perturbations that mix two directions."""
     out = df.filter((F.col("status") == "success") & finite(score).isNotNull() & ~F.col("perturbation").isin(*legacy))
