@@ -194,9 +194,13 @@ def _windows(drawn: DataFrame, length: int) -> DataFrame:
     return drawn.select("g", "sig", "off", "s", "own").mapInArrow(run, "g long, sig long, l int, w long")
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys occur twice or more."""
-    return rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(*keys), keys, "left_semi")
+def _repeated(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """The rows whose keys occur twice or more. Rows and counts are written first: rows are made once, and Spark can split the join's sides."""
+    rows = scratch.save(rows, f"{name}-rows")
+    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(*keys)
+    out = scratch.save(rows.join(scratch.save(twice, f"{name}-keys"), keys, "left_semi"), name)
+    scratch.drop(f"{name}-rows", f"{name}-keys")
+    return out
 
 
 def repeated_bytes(docs: DataFrame, length: int, gram: int, step: int, scratch: Scratch) -> DataFrame:
@@ -219,15 +223,15 @@ def repeated_bytes(docs: DataFrame, length: int, gram: int, step: int, scratch:
     rivals = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("g")
     strings = scratch.save(_strings(ranked.join(rivals, "g", "left_semi").drop("n"), docs, length), "strings")
     tidy()
-    steps = scratch.save(_repeated(_steps(strings, length, gram, step), ["g", "j", "core"]), "steps")
-    covered = scratch.save(_repeated(steps.filter(F.col("cover").isNotNull()), ["g", "j", "cover"]).select("g", "sig", "j", "a", "b"), "covered")
+    steps = _repeated(_steps(strings, length, gram, step), ["g", "j", "core"], scratch, "steps")
+    covered = _repeated(steps.filter(F.col("cover").isNotNull()).select("g", "sig", "j", "cover", "a", "b"), ["g", "j", "cover"], scratch, "covered").select("g", "sig", "j", "a", "b")
     # A span that occurs twice is decided, but its windows are still rivals of the others.
     asked = steps.join(covered.select("g", "sig", "j"), ["g", "sig", "j"], "left_anti")
     meets = asked.select("g", "j").distinct()
     asked = steps.join(meets, ["g", "j"], "left_semi").groupBy("g", "sig").agg(F.collect_list(F.struct("a", "b")).alias("own"))
-    windows = _repeated(_windows(strings.join(asked, ["g", "sig"]), length), ["g", "l", "w"]).select("g", "sig", F.col("l").alias("a"), F.col("l").alias("b"))
+    windows = _repeated(_windows(strings.join(asked, ["g", "sig"]), length), ["g", "l", "w"], scratch, "windows").select("g", "sig", F.col("l").alias("a"), F.col("l").alias("b"))
     offsets = scratch.save(covered.select("g", "sig", "a", "b").unionByName(windows).groupBy("g", "sig").agg(F.collect_set(F.struct("a", "b")).alias("own")), "offsets")
-    tidy("strings", "steps", "covered")
+    tidy("strings", "steps", "covered", "windows")
     marked = ranked.select("g", "sig", (F.col("n") > 1).alias("whole")).join(offsets, ["g", "sig"], "left").filter(F.col("whole") | F.col("own").isNotNull())
     # Both sides of the next join are plain exchanges, so Spark can split a span that very many texts, or one text, repeat.
     marked = scratch.save(marked, "marked")
