@@ -98,18 +98,6 @@ def _chunks(keys: list, texts: list, length: int) -> Iterator[tuple[list, list[i
         yield own, begin, parts
 
 
-def _leaders(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(g, n): how often each leader hash leads, summed within each chunk."""
-
-    def run(batches):
-        for batch in sliced(batches):
-            for _, _, parts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
-                g, n = np.unique(spans(parts, length, gram)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["g", "n"])
-
-    return docs.mapInArrow(run, "g long, n long")
-
-
 def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in sliced(batches):
@@ -214,10 +202,12 @@ def repeated_bytes(docs: DataFrame, length: int, gram: int, step: int, scratch:
         spark._jvm.System.gc()
 
     texts = docs.select("rk", "text")
-    twice = scratch.save(_leaders(texts, length, gram).groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).select("g"), "leaders")
+    # Texts are hashed once; only the leaders' column is read to count them.
+    every = scratch.save(_spans(texts, length, gram), "every")
+    twice = scratch.save(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("g"), "leaders")
     tidy()
-    held = scratch.save(_spans(texts, length, gram).join(twice, "g", "left_semi"), "spans")
-    tidy("leaders")
+    held = scratch.save(every.join(twice, "g", "left_semi"), "spans")
+    tidy("every", "leaders")
     first = [F.first(c).alias(c) for c in ("rk", "lo", "hi", "p")]
     ranked = scratch.save(held.groupBy("g", "sig").agg(F.count(F.lit(1)).alias("n"), *first), "ranked")
     rivals = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("g")
@@ -227,11 +217,11 @@ def repeated_bytes(docs: DataFrame, length: int, gram: int, step: int, scratch:
     covered = _repeated(steps.filter(F.col("cover").isNotNull()).select("g", "sig", "j", "cover", "a", "b"), ["g", "j", "cover"], scratch, "covered").select("g", "sig", "j", "a", "b")
     # A span that occurs twice is decided, but its windows are still rivals of the others.
     asked = steps.join(covered.select("g", "sig", "j"), ["g", "sig", "j"], "left_anti")
-    meets = asked.select("g", "j").distinct()
+    meets = scratch.save(asked.select("g", "j").distinct(), "meets")
     asked = steps.join(meets, ["g", "j"], "left_semi").groupBy("g", "sig").agg(F.collect_list(F.struct("a", "b")).alias("own"))
     windows = _repeated(_windows(strings.join(asked, ["g", "sig"]), length), ["g", "l", "w"], scratch, "windows").select("g", "sig", F.col("l").alias("a"), F.col("l").alias("b"))
     offsets = scratch.save(covered.select("g", "sig", "a", "b").unionByName(windows).groupBy("g", "sig").agg(F.collect_set(F.struct("a", "b")).alias("own")), "offsets")
-    tidy("strings", "steps", "covered", "windows")
+    tidy("strings", "steps", "covered", "windows", "meets")
     marked = ranked.select("g", "sig", (F.col("n") > 1).alias("whole")).join(offsets, ["g", "sig"], "left").filter(F.col("whole") | F.col("own").isNotNull())
     # Both sides of the next join are plain exchanges, so Spark can split a span that very many texts, or one text, repeat.
     marked = scratch.save(marked, "marked")
