@@ -25,14 +25,15 @@ def components(edges: DataFrame, scratch: Scratch, tag: str, most_rounds: int =
     mark = _mark(now)
     for k in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are written before they are joined, so that the join's sides are plain exchanges, which Spark can split at a hub.
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}-low")
         # Large star: each larger neighbour goes to the least of the neighbourhood. Small star: so do the smaller ones and the node.
-        large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.save(both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}-large")
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-least")
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{tag}-{k}")
         last, mark = mark, _mark(step)
-        scratch.drop(f"{tag}-{k - 1}")
+        scratch.drop(f"{tag}-{k - 1}", f"{tag}-low", f"{tag}-large", f"{tag}-least")
         now = step
         if mark == last:
             break
