@@ -100,8 +100,10 @@ def _sized(num: int, den: int) -> Column:
 
 def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k: int, full: int, num: int, den: int, scratch: Scratch, tag: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as u and v. First the union's sketch drops those it excludes."""
-    one = heads.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = heads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    # The upper halves of the values estimate as well, and what they take for equal is only confirmed once more.
+    upper = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
+    one = heads.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), upper.alias("sa"))
+    two = heads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), upper.alias("sb"))
     drawn = pairs.join(two, "b").join(one, "a")
 
     def estimate(batch: pa.RecordBatch) -> dict | None:
@@ -109,7 +111,7 @@ def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k: i
         a, b, na, nb, sa, sb = (batch.column(names.index(x)) for x in ("a", "b", "na", "nb", "sa", "sb"))
         keep = []
         for i in range(batch.num_rows):
-            x, y = sa[i].values.to_numpy().view(np.uint64), sb[i].values.to_numpy().view(np.uint64)
+            x, y = (np.unique(s[i].values.to_numpy().view(np.uint32)) for s in (sa, sb))
             union = np.union1d(x, y)
             whole = na[i].as_py() <= k and nb[i].as_py() <= k
             shared = np.intersect1d(x, y, assume_unique=True)
