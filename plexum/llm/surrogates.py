@@ -74,7 +74,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if _DIGIT.search(text):
         for kind, rule in (("iban", IBAN), ("ip", IP), ("ip", IP6), ("ssn", SSN)):
             for m in rule.finditer(text):
-                take(m.start(), m.end(), kind, m[0].replace(" ", "").lower())
+                take(m.start(), m.end(), kind, m[0].replace("-" if kind == "ssn" else " ", "").lower())
         # One number after another, with a space between, is not one long number.
         for m in re.finditer(r"(?<![\w-])\d{13,19}(?![\w-])", text):
             take(m.start(), m.end(), "card", m[0])

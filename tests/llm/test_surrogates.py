@@ -60,3 +60,24 @@ def test_collisions(spark, monkeypatch):
     new = [table.get(x) or surrogate(*x, KEY) for x in names]
     assert len(set(new)) == len(set(names)) and not set(new) & {c for _, c in names}
     assert real is surrogates._drawn
+
+
+def test_emitted_texts(spark):
+    """Of every kind, each mention keeps its format and two entities never become one text."""
+    kinds = {
+        "ssn": (lambda k: f"{100 + k}-{10 + k % 90}-{1000 + 7 * k}", r"\d{3}-\d{2}-\d{4}"),
+        "card": (lambda k: f"4465 7583 8288 {1000 + k}", r"4\d{3}(?: \d{4}){3}"),
+        "phone": (lambda k: f"+1 (017) 555-{1000 + k}", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+        "iban": (lambda k: f"DE89 3704 0044 0532 {1000 + k} 00", r"DE\d\d(?: \d{4}){4} \d\d"),
+        "ip": (lambda k: f"97.51.{k}.9", r"\d{1,3}(?:\.\d{1,3}){3}"),
+        "email": (lambda k: f"a{k}@mail.com", r"[a-z]\d+@[a-z]+\.com"),
+        "secret": (lambda k: f"AKIA{k:016d}", r"[A-Z]{4}\d{16}"),
+        "family": (lambda k: f"Mr. Q{'aeiou'[k % 5]}{'bcdfghklmn'[k // 5 % 10]}{'aeiou'[k // 50 % 5]}x", r"Mr\. [A-Z][a-z]+"),
+    }
+    rows = [(f"{kind}", k, made(k)) for kind, (made, _) in kinds.items() for k in range(200)]
+    out = surrogates.replace_private(spark.createDataFrame([(i, x[2]) for i, x in enumerate(rows)], "doc_id long, text string"), KEY).collect()
+    for kind, (_, form) in kinds.items():
+        new = [r.text for r in out if rows[r.doc_id][0] == kind]
+        assert {r.kinds for r in out if rows[r.doc_id][0] == kind} == {kind}
+        assert len(set(new)) == 200 and all(re.fullmatch(form, x) for x in new), kind
+    assert replace("123-45-6789 and 123-45-6789", KEY, {("ssn", "123456789"): "456789012"})[0] == "456-78-9012 and 456-78-9012"
