@@ -35,6 +35,7 @@ FRAME_WORDS = frozenset(
     "social related recommended recommendations toolbar pagination pager copyright search form paywall disclaimer".split()
 )
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 BODY_WORDS = frozenset("article content post entry story maintext bodytext".split())
 BREAKS_P = frozenset("p div ul ol dl table section article aside header footer nav form h1 h2 h3 h4 h5 h6 pre blockquote address main figure hr fieldset details menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -50,6 +51,9 @@ class Block:
     header: bool
     link_chars: int
     hint: bool = False
+    #: Numbers of the elements around it that are marked by a word, and of the outermost article or main.
+    marks: tuple[int, ...] = ()
+    carrier: int = 0
 
 
 @dataclass
@@ -60,6 +64,8 @@ class _Open:
     body: bool
     header: bool
     hint: bool
+    marks: tuple[int, ...] = ()
+    carrier: int = 0
     parts: list = field(default_factory=list)
 
 
@@ -83,6 +89,8 @@ def _marks(attrs: str) -> tuple[set[str], str, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, without empty ones."""
     out: list[Block] = []
+    talk: set[int] = set()
+    carriers: dict[int, tuple[tuple[int, ...], bool]] = {}
     stack = [_Open("", 0, False, False, False, False)]
     number, links, at, text, linked = 0, 0, 0, [], 0
 
@@ -92,7 +100,7 @@ def blocks(page: str) -> list[Block]:
             said = " ".join("".join(text).split())
             if said:
                 top = stack[-1]
-                out.append(Block(said, top.tag, top.number if top.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dd", "dt") or len(stack) < 2 else stack[-2].number, top.frame, top.body, top.header, linked, top.hint))
+                out.append(Block(said, top.tag, top.number if top.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dd", "dt") or len(stack) < 2 else stack[-2].number, top.frame, top.body, top.header, linked, top.hint, top.marks, top.carrier))
             text.clear()
         linked = 0
 
@@ -159,12 +167,54 @@ def blocks(page: str) -> list[Block]:
         number += 1
         whole = tag in ("html", "body", "article", "main")
         body = up.body or tag in ("article", "main") or role in ("article", "main")
-        frame = up.frame or tag in FRAME or role in FRAME_ROLES or hidden or (not whole and bool(words & FRAME_WORDS)) or (tag == "header" and not body) or (tag == "article" and bool(words & {"comment", "comments", "reply"}))
-        stack.append(_Open(tag, number, frame, body, up.header or tag == "header", up.hint or (not whole and bool(words & BODY_WORDS))))
+        frame = up.frame or tag in FRAME or role in FRAME_ROLES or hidden or (tag == "header" and not body) or (tag == "article" and bool(words & {"comment", "comments", "reply"}))
+        marks, carrier = up.marks, up.carrier
+        if not whole and words & FRAME_WORDS:
+            marks += (number,)
+            if words & COMMENT_WORDS:
+                talk.add(number)
+        if body and not up.body and not frame:
+            carrier = number
+            carriers[number] = marks, tag == "main" or role == "main"
+        stack.append(_Open(tag, number, frame, body, up.header or tag == "header", up.hint or (not whole and bool(words & BODY_WORDS)), marks, carrier))
     flush()
+    lifted = _wrappers(out, talk, carriers)
+    for b in out:
+        b.frame = b.frame or not lifted.issuperset(b.marks)
     return out
 
 
+def _wrappers(found: list[Block], talk: set[int], carriers: dict[int, tuple[tuple[int, ...], bool]]) -> set[int]:
+    """Elements marked by a word that are no frame, since the page's text is in them.
+
+    These are the elements around a main with text, or around the longest article if no more text stands free of marks and articles. Without
+    either, they are those with most of the page's text. Elements of comments (`talk`) only count where no text precedes them, as a
+    story does its comments. Text in links and in frames of other kinds is not counted.
+    """
+    if not any(b.marks for b in found):
+        return set()
+    total = free = 0
+    own, held, before = dict.fromkeys(carriers, 0), {}, {}
+    for b in found:
+        if b.frame:
+            continue
+        n = max(0, len(b.text) - b.link_chars)
+        for m in b.marks:
+            before.setdefault(m, total)
+            held[m] = held.get(m, 0) + n
+        if b.carrier in own and b.marks == carriers[b.carrier][0]:
+            own[b.carrier] += n
+        elif not b.marks:
+            free += n
+        total += n
+    late = {m for m, n in before.items() if m in talk and n > 0.1 * total}
+    fit = [c for c, n in own.items() if n and not late.intersection(carriers[c][0])]
+    best = max(fit, key=lambda c: (carriers[c][1], own[c]), default=None)
+    if best is not None and (carriers[best][1] or own[best] >= free):
+        return set(carriers[best][0])
+    return {m for m, n in held.items() if n > 0.5 * total and m not in late}
+
+
 #: Weights of the classifier, as log odds of content.
 WEIGHTS = {"frame": -9.0, "body": 4.0, "beside_body": -5.0, "hint": 2.0, "header": -1.0, "heading": 1.0, "p": 1.2, "item": -0.4, "length": 0.7, "links": -4.0, "stop": 0.8, "legal": -2.5, "bias": -0.4}
 _LEGAL = re.compile(r"©|\(c\)\s|copyright|all rights reserved|cookies?\b|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in", re.I)

@@ -23,6 +23,31 @@ def test_without_article():
     assert html_cut.main_text(page)[0] == "A long sentence of the story, with many words in it, goes on here. Short."
 
 
+STORY = "<p>" + "The story has many words and goes on here for long. " * 10 + "</p>"
+TOLD = html_cut.main_text(f"<article>{STORY}</article>")[0]
+
+
+def test_marked_wrappers():
+    assert len(TOLD) > 500
+    bar, talk = "<div class=sidebar><p>Other things of this site stand here, all day.</p></div>", "<section id=comments><p>" + "I am a reader and I like it. " * 40 + "</p></section>"
+    for name in ("has-sidebar", "search-results", "with-comments", "share-enabled", "site-menu-open", "has-sidebar with-comments"):
+        for tag in ("article", "main", "div"):
+            assert html_cut.main_text(f"<div class='{name}'><{tag}>{STORY}</{tag}>{bar}</div>")[0] == TOLD, (name, tag)
+            assert html_cut.main_text(f"<div class='{name}'><div id=banner-wrap><{tag}>{STORY}</{tag}></div>{bar}</div>")[0] == TOLD, (name, tag)
+        for tag in ("article", "main"):
+            assert html_cut.main_text(f"<div class='{name}'><{tag}>{STORY}</{tag}>{bar}{talk}</div>")[0] == TOLD, (name, tag)
+            assert html_cut.main_text(f"<div class='{name}'><{tag}>{STORY}{bar}{talk}</{tag}></div>")[0] == TOLD, (name, tag)
+
+
+def test_marked_parts():
+    """Teasers and comments stay out, articles or not, whether the story is one or not."""
+    for words in ("related", "widget", "comments"):
+        part = f"<div class={words}>" + "<article><p>A teaser of another story, with some words in it.</p></article>" * 3 + "</div>"
+        assert html_cut.main_text(f"<article>{STORY}</article>{part}")[0] == TOLD
+        assert html_cut.main_text(f"<div>{STORY}</div>{part}")[0] == TOLD
+        assert html_cut.main_text(f"<div class=has-sidebar><article>{STORY}</article>{part}</div>")[0] == TOLD
+
+
 def test_broken():
     for page in (None, "", "<", "<p", "<!-- x", "<script>x", "<p title='x>y", "&am", "<article><p>Cut off &am"):
         html_cut.main_text(page)
