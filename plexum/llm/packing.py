@@ -1,9 +1,9 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits into one sequence. Multiplicative weights solve the covering program: each round prices
-lengths by how far they are from being covered, a knapsack dynamic program finds the dearest configuration, and its share is added. Shares
-are rounded down to whole sequences; what is left over goes best-fit decreasing, on the histogram too. Documents then take the places
-of their length by rank.
+lengths by how far they are from being covered, a knapsack dynamic program finds the dearest configurations, and their shares are added, until
+every length is covered. Shares are rounded to whole sequences and the program is solved again for what is left; what no nearly full
+sequence takes goes best-fit decreasing, on the histogram too. Documents then take the places of their length by rank.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,13 @@ from plexum.llm.common import Scratch, map_arrow
 CAPACITY = 2048
 #: Parts that the pieces of one length are ranked in.
 SALTS = 256
-#: Rounds of multiplicative weights.
-ROUNDS = 400
+#: Rounds of multiplicative weights at most; far more than it takes to cover all lengths.
+ROUNDS = 20_000
+#: Share of its scarcest length that a configuration covers at once, how fast prices fall with coverage, and how far from the best value of
+#: the knapsack a configuration may be.
+STEP, RATE, SLACK = 0.25, 0.3, 0.02
+#: Share of the capacity from which on a sequence counts as full.
+FULL = 0.998
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -66,47 +73,82 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, _PIECE)
 
 
-def price(sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack by dynamic programming: how often each size stands in the configuration of highest value."""
+def _table(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: the highest value of each room, and the size taken there (-1: none)."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    count = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    count = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
         n = count[c]
         best[c] = best[c - 1]
         if n:
             got = value[:n] + best[c - sizes[:n]]
-            k = int(np.argmax(got))
+            k = int(got.argmax())
             if got[k] > best[c] + 1e-15:
                 best[c], pick[c] = got[k], k
-    out, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
+    return best, pick
+
+
+def _taken(pick: list[int], sizes: list[int], room: int, got: dict[int, int]) -> dict[int, int]:
+    """got, with the sizes that the table takes for the room."""
+    while room > 0:
+        k = pick[room]
+        if k < 0:
+            room -= 1
         else:
-            out[pick[c]] += 1
-            c -= sizes[pick[c]]
+            got[k] = got.get(k, 0) + 1
+            room -= sizes[k]
+    return got
+
+
+def price(sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size stands in the configuration of highest value."""
+    _, pick = _table(sizes, value, capacity)
+    out = np.zeros(len(sizes), np.int64)
+    for k, n in _taken(pick.tolist(), sizes.tolist(), capacity, {}).items():
+        out[k] = n
     return np.minimum(out, most)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = 0.3) -> tuple[list[tuple[tuple[int, ...], float]], float]:
-    """Configurations (lengths in falling order) with fractional shares that cover the histogram, and the least coverage that was scaled to 1."""
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP, slack: float = SLACK) -> tuple[list[tuple[tuple[int, ...], float]], float, float]:
+    """Configurations (lengths in falling order) with fractional shares, the least coverage of a length, and a lower bound of the program.
+
+    A piece is priced by its length, less the more of its length is covered, and not at all once that is whole. A table of the knapsack serves all
+    configurations within `slack` of its best, one for each length that has to be in it: prices only fall, so its best stays a bound. A
+    share covers its scarcest length by `step`, and is a whole sequence at least, so that a rare length takes one configuration.
+    Rounds, of a table each, go on until all lengths are covered.
+    """
     sizes = np.array(sorted(x for x in histogram if 0 < x < capacity), np.int64)
     need = np.array([histogram[x] for x in sizes], float)
     if not len(sizes):
-        return [], 1.0
-    covered, share = np.zeros(len(sizes)), {}
-    most = need.astype(np.int64)
+        return [], 1.0, 0.0
+    covered, share, bound = np.zeros(len(sizes)), {}, 0.0
     for _ in range(rounds):
-        weight = np.exp(-np.minimum(covered / step, 500.0)) / need * sizes / capacity
-        weight = np.maximum(weight / weight.max(), 1e-9 * sizes / capacity)
-        got = price(sizes, most, weight, capacity)
-        used = np.flatnonzero(got)
-        amount = step * float((need[used] / got[used]).min())
-        covered[used] += amount * got[used] / need[used]
-        key = tuple(int(x) for x in np.repeat(sizes[used], got[used])[::-1])
-        share[key] = share.get(key, 0.0) + amount
-    scale = 1 / max(1.0, float(covered.max()))
-    return [(k, v * scale) for k, v in share.items()], float(covered.min())
+        open_ = np.flatnonzero(covered < 1 - 1e-9)
+        if not len(open_):
+            break
+        own = sizes[open_]
+        start = own / capacity
+        value = start * np.exp(-RATE * covered[open_])
+        best, pick = _table(own, value, capacity)
+        # Scaled prices of all lengths are a solution of the dual program.
+        bound = max(bound, float(value @ need[open_]) / best[capacity])
+        forced = value + best[capacity - own]
+        order = np.argsort(-forced, kind="stable")
+        order = order[forced[order] >= (1 - slack) * best[capacity] - 1e-12]
+        picks, lens = pick.tolist(), own.tolist()
+        now, wants, have = value.tolist(), need[open_].tolist(), covered[open_].tolist()
+        for first, k in enumerate(order.tolist()):
+            got = {j: min(n, int(wants[j])) for j, n in _taken(picks, lens, capacity - lens[k], {k: 1}).items()}
+            if first and sum(now[j] * n for j, n in got.items()) < (1 - slack) * best[capacity]:
+                continue
+            amount = max(1.0, step * min(wants[j] / n for j, n in got.items()))
+            for j, n in got.items():
+                have[j] += amount * n / wants[j]
+                now[j] = lens[j] / capacity * math.exp(-RATE * have[j]) if have[j] < 1 - 1e-9 else 0.0
+            key = tuple(lens[j] for j in sorted(got, reverse=True) for _ in range(got[j]))
+            share[key] = share.get(key, 0.0) + amount
+        covered[open_] = have
+    return list(share.items()), float(covered.min()), bound
 
 
 def best_fit(left: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -147,22 +189,40 @@ def best_fit(left: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple
     return [(lengths, n) for groups in rooms.values() for lengths, n in groups]
 
 
+def place(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Whole sequences from the program, (lengths, number of equal sequences), and the pieces it leaves.
+
+    Shares are rounded by their running sum and cut to the pieces there are. The program is solved again for what is left until no
+    configuration is placed.
+    """
+    left, out = dict(histogram), []
+    while left:
+        shares, _, _ = solve(left, capacity, rounds)
+        carry, placed = 0.5, 0
+        for lengths, share in sorted(shares, key=lambda x: -sum(x[0])):
+            carry += share
+            n, need = int(carry + 1e-9), Counter(lengths)
+            carry -= n
+            n = min(n, *(left.get(x, 0) // k for x, k in need.items()))
+            # A sequence that is not nearly full would spend room that other pieces can use.
+            if n > 0 and (sum(lengths) >= FULL * capacity or sum(lengths) + min(left) > capacity):
+                out.append((lengths, n))
+                placed += n
+                for x, k in need.items():
+                    left[x] -= n * k
+                    if not left[x]:
+                        del left[x]
+        if not placed:
+            break
+    return out, left
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """Whole sequences for every piece of the histogram: (lengths, number of equal sequences)."""
     left = {k: v for k, v in histogram.items() if v > 0}
     out = [((capacity,), left.pop(capacity))] if capacity in left else []
-    shares, _ = solve(left, capacity, rounds)
-    for lengths, share in sorted(shares, key=lambda x: (-sum(x[0]), -x[1], x[0])):
-        need = {}
-        for x in lengths:
-            need[x] = need.get(x, 0) + 1
-        n = min(int(share), *(left.get(x, 0) // k for x, k in need.items()))
-        # A sequence that is not nearly full would spend room that best-fit can use.
-        if n > 0 and sum(lengths) >= 0.998 * capacity:
-            out.append((lengths, n))
-            for x, k in need.items():
-                left[x] -= n * k
-    return out + best_fit({k: v for k, v in left.items() if v}, capacity)
+    placed, left = place(left, capacity, rounds)
+    return out + placed + best_fit(left, capacity)
 
 
 class Places:

@@ -25,6 +25,23 @@ def test_plan(histogram):
     assert least <= used <= 1.05 * sum(n for _, n in packing.best_fit(histogram, 64)) + 1
 
 
+def test_program_covers_and_places():
+    """Many lengths, most of them rare: all are covered, by about as many sequences as have to be, and best-fit gets a small rest."""
+    rng = np.random.default_rng(1)
+    histogram = {int(k): int(n) for k, n in zip(*np.unique(np.clip(rng.lognormal(4.4, 1.1, 3000), 1, 511).astype(int), return_counts=True))}
+    got = packing.solve(histogram, 512)
+    shares, covered, bound = got[0], defaultdict(float), sum(k * n for k, n in histogram.items()) / 512
+    for lengths, share in shares:
+        assert sum(lengths) <= 512
+        for x in lengths:
+            covered[x] += share
+    assert min(covered[x] / n for x, n in histogram.items()) >= 1 - 1e-6 and got[1] >= 1 - 1e-6
+    assert got[2] <= bound + 1 and sum(x for _, x in shares) <= 1.15 * bound
+    out, left = packing.place(histogram, 512)
+    assert sum(left.values()) <= 0.1 * sum(histogram.values())
+    assert sum(n for _, n in packing.plan(histogram, 512)) <= sum(n for _, n in packing.best_fit(histogram, 512)) + 1
+
+
 def test_price():
     rng = random.Random(0)
     for _ in range(20):
