@@ -100,7 +100,8 @@ def _sized(num: int, den: int) -> Column:
 
 def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k: int, full: int, num: int, den: int, scratch: Scratch, tag: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as u and v. First the union's sketch drops those it excludes."""
-    # The upper halves of the values estimate as well, and what they take for equal is only confirmed once more.
+    # The upper halves of the values estimate as well, and what they take for equal in two sets is only confirmed once more. Where they take
+    # two values of one set for equal, they count too few shared ones, so that the pair is confirmed whatever they say.
     upper = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
     one = heads.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), upper.alias("sa"))
     two = heads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), upper.alias("sb"))
@@ -112,6 +113,9 @@ def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k: i
         keep = []
         for i in range(batch.num_rows):
             x, y = (np.unique(s[i].values.to_numpy().view(np.uint32)) for s in (sa, sb))
+            if len(x) < len(sa[i].values) or len(y) < len(sb[i].values):
+                keep.append(True)
+                continue
             union = np.union1d(x, y)
             whole = na[i].as_py() <= k and nb[i].as_py() <= k
             shared = np.intersect1d(x, y, assume_unique=True)

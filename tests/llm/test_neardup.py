@@ -73,3 +73,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 90)] + [(200, i) for i in range(201, 260)] + [(300, 300), (None, 4), (400, 401), (401, 400)]
     out = dict(components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "c").collect())
     assert out == {i: 0 for i in range(91)} | {i: 200 for i in range(200, 260)} | {400: 400, 401: 400}
+
+
+def test_equal_upper_halves(spark):
+    """A pair at exactly .8, 40 of 50, stays one when two shared values of a sketch agree in their upper halves."""
+    value = lambda i: (10 << 32) + i if i in (10, 11) else (i << 32) + 5
+    sets = {1: range(45), 2: range(5, 50)}
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in s)) for k, s in sets.items()], "doc_id long, text string")
+    heads = spark.createDataFrame([(k, len(s), sorted(map(value, s))) for k, s in sets.items()], "doc_id long, n int, sketch array<long>")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    links = neardup.verify(pairs, docs, heads, 1, 64, 30, 4, 5, Scratch(spark, "test"), "halves").collect()
+    assert [tuple(r) for r in links] == [(1, 2)]
