@@ -12,6 +12,7 @@ import bisect
 import functools
 import json
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexum.llm.common import Scratch, map_arrow
+from plexum.llm.common import Scratch, map_arrow, partitions
 
 CAPACITY = 2048
-#: Parts that the pieces of one length are ranked in.
+#: Parts that the pieces of one length are ranked in, or as many as there are shuffle partitions, if more.
 SALTS = 256
 #: Rounds of multiplicative weights at most; far more than it takes to cover all lengths.
 ROUNDS = 20_000
@@ -32,21 +33,60 @@ ROUNDS = 20_000
 STEP, RATE, SLACK = 0.25, 0.3, 0.02
 #: Share of the capacity from which on a sequence counts as full.
 FULL = 0.998
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str):
-    """A tiktoken encoding with the ids of a byte-level BPE file of the tokenizers library, whose ids follow the order of its merges."""
-    import public_tokenizers
-    import tiktoken
+def tokenizer_of(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+#: A space that begins a token: the byte-level pattern takes the last space of a run together with the word, number or sign after it.
+_BEGINS = re.compile(r"(?= \S)")
+_INNER = re.compile(r" (?:\s|\Z)")
 
-    spec = json.load(open(path, encoding="utf-8"))
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in set(plain))}
-    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+class Ids:
+    """Token ids of texts by the tokenizers library, asked once for each part of a text that begins with a space.
+
+    No token of the byte-level pattern reaches over the begin of such a part, so the ids of the parts, in a row, are those of the text.
+    Parts of over `longest` characters are not remembered; of the others, the `most` last asked and those used since then are. A tokenizer
+    of another kind, or one whose added tokens take in spaces, gets whole texts.
+    """
+
+    def __init__(self, path: str, longest: int = 40, most: int = 300_000):
+        self.model, self.longest, self.most, self.known, self.older = tokenizer_of(path), longest, most, {}, {}
+        spec = json.load(open(path, encoding="utf-8"))
+        plain = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
+        self.split = plain and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in spec.get("added_tokens", ()))
+
+    def ask(self, part: str) -> tuple[int, ...]:
+        return tuple(self.model.encode(part, add_special_tokens=False).ids)
+
+    def of(self, text: str) -> list[int]:
+        if not self.split:
+            return list(self.ask(text))
+        parts = _BEGINS.split(text) if _INNER.search(text) else [x if not k else " " + x for k, x in enumerate(text.split(" "))]
+        known, out = self.known, []
+        for part in parts:
+            got = known.get(part)
+            if got is None:
+                got = self.older.get(part) or (self.ask(part) if part else ())
+                if len(part) <= self.longest:
+                    if len(known) >= self.most:
+                        self.older, self.known = known, {}
+                        known = self.known
+                    known[part] = got
+            out += got
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def ids_of(path: str) -> Ids:
+    """One memory a worker process, for all its tasks."""
+    return Ids(path)
 
 
 def default_tokenizer() -> str:
@@ -55,20 +95,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32. Only documents of over `capacity` ids (id 0 at the end included) are cut."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, salt (the part it is ranked in). Only documents of over `capacity` ids (id 0 at the end included) are cut."""
     path = tokenizer or default_tokenizer()
 
+    turn = [0]
+
     def run(batch: pa.RecordBatch) -> dict:
-        enc = encoder(path)
+        tokens = ids_of(path)
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.array([*enc.encode(text or "", allowed_special="all"), 0], "<u4")
+            ids = np.array([*tokens.of(text or ""), 0], "<u4")
             first = len(ids) % capacity or capacity
             cuts = [0, *range(first, len(ids) + 1, capacity)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                rows.append((key, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-        return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows)))
+                # Pieces are dealt in turn, so that neither one length nor one repeated row gathers in a part.
+                rows.append((key, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), (turn[0] + len(rows)) % salts))
+        turn[0] += len(rows)
+        return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "salt"), zip(*rows)))
 
     return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, _PIECE)
 
@@ -221,8 +265,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     """Whole sequences for every piece of the histogram: (lengths, number of equal sequences)."""
     left = {k: v for k, v in histogram.items() if v > 0}
     out = [((capacity,), left.pop(capacity))] if capacity in left else []
-    placed, left = place(left, capacity, rounds)
-    return out + placed + best_fit(left, capacity)
+    placed, rest = place(left, capacity, rounds)
+    return out + repaired(placed, rest, capacity)
+
+
+def repaired(placed: list[tuple[tuple[int, ...], int]], rest: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The placed sequences and best-fit of the rest; where rounding left more sequences than the pieces' sum asks for, with as many of the
+    least full placed sequences taken apart again as makes the whole fewest."""
+    best = placed + best_fit(rest, capacity)
+    least = -(-sum(sum(x) * n for x, n in best) // capacity)
+    placed = sorted(placed, key=lambda x: sum(x[0]))
+    k = 1
+    while sum(n for _, n in best) > least and k < 2 * len(placed):
+        back = Counter(rest)
+        for lengths, n in placed[:k]:
+            for x in lengths:
+                back[x] += n
+        tried = placed[k:] + best_fit(back, capacity)
+        if sum(n for _, n in tried) < sum(n for _, n in best):
+            best = tried
+        k *= 2
+    return best
 
 
 class Places:
@@ -259,7 +322,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    cut = scratch.save(pieces(docs, tokenizer, id_col, text_col, capacity), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    cut = scratch.save(pieces(docs, tokenizer, id_col, text_col, capacity, max(SALTS, partitions(spark))), "pieces")
     counts = sorted((r.length, r.salt, r.n) for r in cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect())
     histogram, base = {}, {}
     for length, salt, n in counts:

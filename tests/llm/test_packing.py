@@ -54,11 +54,22 @@ def test_price():
         assert sizes @ got <= 24 and abs(value @ got - best[24]) < 1e-9
 
 
-def test_tokenizer():
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Bc", "'s", "12", "é", "漢字", "\x1c", "\x85", "!?", "<|endoftext|>", "🙂", "   \n ", "'ll ", "　"]), max_size=12).map("".join))
+def test_tokenizer(x):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    enc, tok = packing.encoder(path), Tokenizer.from_file(path)
-    for x in ("", "a<|endoftext|>b", " \n\n x\t\t1234's", "éà 𝄞 ́a" * 9, "aaaa" * 500, "　日本 ‍", "x" * 3000):
-        assert enc.encode(x, allowed_special="all") == tok.encode(x, add_special_tokens=False).ids
+    assert packing.Ids(path, most=3).of(x) == packing.tokenizer_of(path).encode(x, add_special_tokens=False).ids
+
+
+def test_long_runs():
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(ids.of(" " * 1_000_000)) == 1_000_000 and len(ids.of("\n" * 1_000_000)) == 500_000
+    assert ids.of("a" * 30_000) == ids.model.encode("a" * 30_000, add_special_tokens=False).ids
+
+
+def test_long_white_space(spark):
+    got = packing.pack(spark.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 5000)], "doc_id long, text string")).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {1: 1_000_001, 2: 2501}
 
 
 def test_operator(spark, docs, no_docs, rows):
