@@ -2,8 +2,10 @@
 
 A page is cut into text blocks. A linear classifier gives each block a cost for either label; the costs become capacities from the source
 (content) and to the sink (boilerplate). Blocks that follow each other, and blocks with the same parent, are joined by smoothness
-edges. The source side of the minimum cut is the text. Blocks that outweigh all their edges are labelled first and folded into
-their neighbours' costs, which leaves the cut as it is; max-flow runs on the rest.
+edges. An article or main is a node of its own, with a prior that grows with its unlinked blocks and an edge to each of them: a block's own
+words say little where it is short, so the cut settles a line, an item or a heading by what stands around it. The source side of the
+minimum cut is the text. Blocks that outweigh all their edges are labelled first and folded into their neighbours' costs, which
+leaves the cut as it is; max-flow runs on the rest.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: Elements without text of the page.
 SILENT = frozenset("script style title noscript template iframe object svg math canvas audio video textarea select option button datalist xmp noframes".split())
+#: Those whose content is not markup and runs to their end tag, or to the page's end.
+RAW = frozenset("script style iframe xmp noframes textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Elements that a page's frame is made of, and words in class or id that mark it.
@@ -86,13 +90,47 @@ def _marks(attrs: str) -> tuple[set[str], str, bool]:
     return words, role, hidden or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs))
 
 
+_TAGS = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I) for tag in SILENT}
+_BREAK = re.compile(rf"</?(?:{'|'.join(sorted(BREAKS_P | {'body', 'html', 'li', 'td', 'th', 'tr', 'dd', 'dt', 'main', 'head'}, key=len, reverse=True))})(?=[\s/>])", re.I)
+
+
+def _silence(page: str, at: int, tag: str, last: dict[str, int]) -> int:
+    """Where the content of a silent element ends that begins at `at`.
+
+    Without an end tag, or with another element of its kind before it, the element was not closed: it ends at the next tag of a block, so that
+    the page's rest is read. Drawings, objects and templates may hold their own kind. `last` remembers where a kind's last end tag stands.
+    """
+    if tag not in last:
+        last[tag] = max((m.start() for m in _TAGS[tag].finditer(page, at) if m[1]), default=-1)
+    depth, within = 0, at if last[tag] >= at else len(page)
+    for m in _TAGS[tag].finditer(page, within):
+        if m[1]:
+            if not depth:
+                return m.end()
+            depth -= 1
+        elif tag in ("svg", "math", "object", "template"):
+            depth += not m[0].endswith("/>")
+        elif tag not in RAW:
+            break
+    if tag in RAW:
+        return len(page)
+    found = _BREAK.search(page, at)
+    return found.start() if found else len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, without empty ones."""
+    return parsed(page)[0]
+
+
+def parsed(page: str) -> tuple[list[Block], list[int]]:
+    """The page's text blocks, and the parent of each element by its number."""
     out: list[Block] = []
+    above = [0]
     talk: set[int] = set()
     carriers: dict[int, tuple[tuple[int, ...], bool]] = {}
     stack = [_Open("", 0, False, False, False, False)]
-    number, links, at, text, linked = 0, 0, 0, [], 0
+    number, links, at, text, linked, last = 0, 0, 0, [], 0, {}
 
     def flush() -> None:
         nonlocal linked
@@ -132,8 +170,7 @@ def blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if tag in SILENT:
             if not ends and not attrs.rstrip().endswith("/"):
-                found = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                at = found.end() if found else len(page)
+                at = _silence(page, at, tag, last)
             if tag not in ("button", "svg", "math"):
                 text.append(" ")
             continue
@@ -176,12 +213,13 @@ def blocks(page: str) -> list[Block]:
         if body and not up.body and not frame:
             carrier = number
             carriers[number] = marks, tag == "main" or role == "main"
+        above.append(up.number)
         stack.append(_Open(tag, number, frame, body, up.header or tag == "header", up.hint or (not whole and bool(words & BODY_WORDS)), marks, carrier))
     flush()
     lifted = _wrappers(out, talk, carriers)
     for b in out:
         b.frame = b.frame or not lifted.issuperset(b.marks)
-    return out
+    return out, above
 
 
 def _wrappers(found: list[Block], talk: set[int], carriers: dict[int, tuple[tuple[int, ...], bool]]) -> set[int]:
@@ -216,14 +254,14 @@ def _wrappers(found: list[Block], talk: set[int], carriers: dict[int, tuple[tupl
 
 
 #: Weights of the classifier, as log odds of content.
-WEIGHTS = {"frame": -9.0, "body": 4.0, "beside_body": -5.0, "hint": 2.0, "header": -1.0, "heading": 1.0, "p": 1.2, "item": -0.4, "length": 0.7, "links": -4.0, "stop": 0.8, "legal": -2.5, "bias": -0.4}
+WEIGHTS = {"frame": -9.0, "beside_body": -5.0, "hint": 2.0, "header": -1.0, "heading": 1.0, "p": 1.2, "item": -0.4, "length": 0.7, "links": -4.0, "stop": 0.8, "legal": -2.5, "bias": -0.4}
 _LEGAL = re.compile(r"©|\(c\)\s|copyright|all rights reserved|cookies?\b|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in", re.I)
 
 
 def logit(block: Block, has_body: bool, weights: dict[str, float] = WEIGHTS) -> float:
     words = block.text.count(" ") + 1
     s = weights["bias"] + weights["length"] * (min(6.0, math.log2(words)) - 3.0) + weights["links"] * min(1.0, block.link_chars / len(block.text))
-    s += weights["frame"] * block.frame + weights["body"] * block.body + weights["beside_body"] * (has_body and not block.body) + weights["hint"] * block.hint
+    s += weights["frame"] * block.frame + weights["beside_body"] * (has_body and not block.body) + weights["hint"] * block.hint
     s += weights["header"] * (block.header and block.tag not in HEADINGS) + weights["heading"] * (block.tag in HEADINGS) + weights["p"] * (block.tag in ("p", "pre", "blockquote")) + weights["item"] * (block.tag in ("li", "td", "th"))
     s += weights["stop"] * (block.text[-1] in ".!?…。！？\"”»")
     if words < 30 and not block.body and _LEGAL.search(block.text):
@@ -231,20 +269,54 @@ def logit(block: Block, has_body: bool, weights: dict[str, float] = WEIGHTS) ->
     return s
 
 
-def edges(found: list[Block], near: float = 0.5, sibling: float = 0.4) -> list[tuple[int, int, float]]:
-    """Smoothness: blocks in a row, less across the border of a frame or body, and the last block before with the same parent."""
+#: Edges: between blocks in a row, less across the border of a frame or body; between neighbours of one parent; from an article or main to
+#: its blocks; the prior of an article or main for each of its blocks that is not a link; and the edge of
+#: an element that stands for an article, with half that prior.
+NEAR, ACROSS, SIBLING, CARRIED, PRIOR, HELD = 0.7, 0.1, 0.5, 4.0, 3.0, 2.5
+
+
+def edges(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness between blocks: of blocks in a row, and of the last block before with the same parent."""
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
             a = found[i - 1]
-            out.append((i - 1, i, near * (1.0 if a.frame == b.frame and a.body == b.body else 0.1)))
+            out.append((i - 1, i, NEAR * (1.0 if a.frame == b.frame and a.body == b.body else ACROSS)))
         before = last.get(b.parent)
         if before is not None:
-            out.append((before, i, sibling))
+            out.append((before, i, SIBLING * (1.0 if found[before].frame == b.frame else ACROSS)))
         last[b.parent] = i
     return out
 
 
+def network(found: list[Block], above: list[int]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Costs and edges of the blocks, followed by the nodes of articles and mains; without any, that of the element with most text in paragraphs."""
+    has_body = any(b.body and not b.frame for b in found)
+    costs, links, nodes = [logit(b, has_body) for b in found], edges(found), {}
+    for i, b in enumerate(found):
+        if b.carrier and not b.frame:
+            if b.carrier not in nodes:
+                nodes[b.carrier] = len(costs)
+                costs.append(0.0)
+            at = nodes[b.carrier]
+            links.append((i, at, CARRIED))
+            costs[at] += PRIOR * (2 * b.link_chars < len(b.text))
+    if not nodes:
+        told: dict[int, int] = {}
+        for b in found:
+            if not b.frame and b.tag in ("p", "pre", "blockquote"):
+                told[b.parent] = told.get(b.parent, 0) + len(b.text) - b.link_chars
+        best = max(told, key=lambda x: (told[x], -x), default=0)
+        if best:
+            inside = [False] * len(above)
+            for number in range(best, len(above)):
+                inside[number] = number == best or inside[above[number]]
+            own = [i for i, b in enumerate(found) if inside[b.parent] and not b.frame]
+            links += [(i, len(costs), HELD) for i in own]
+            costs.append(0.5 * PRIOR * sum(2 * found[i].link_chars < len(found[i].text) for i in own))
+    return costs, links
+
+
 def minimum_cut(costs: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """Whether each node is on the source side of the minimum cut. costs: over 0 from the source, under 0 to the sink."""
     n = len(costs)
@@ -335,11 +407,10 @@ def _max_flow(rest: list[int], unary: list[float], around: list[dict[int, float]
 
 def main_text(page: str | None) -> tuple[str, int, int]:
     """The text, the number of blocks, and the number of content blocks; empty for a page without any."""
-    found = blocks(page or "")
+    found, above = parsed(page or "")
     if not found:
         return "", 0, 0
-    has_body = any(b.body and not b.frame for b in found)
-    side = minimum_cut([logit(b, has_body) for b in found], edges(found))
+    side = minimum_cut(*network(found, above))
     kept = [b.text for b, content in zip(found, side) if content]
     return " ".join(kept), len(found), len(kept)
 
