@@ -14,8 +14,12 @@ def op1_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_cut.extract_pages(table(spark, sf_dir, "pages"))
 
 
+#: The setting that holds the key of surrogates, and the public key that stands in for it over test data.
+KEY_SETTING, TEST_KEY = "spark.plexum.surrogates.key", "not a secret: test data only"
+
+
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_private(table(spark, sf_dir, "documents"))
+    return surrogates.replace_private(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, TEST_KEY).encode())
 
 
 def op3_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,14 +54,17 @@ SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}(?:[ .-]?(?:\(\d{1,5}\)|\d{1,7})){1,5}|(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4})(?!\w|[.-]\d)")
 _DIGIT = re.compile(r"\d")
+WORD = re.compile(r"(?<!\w)(\w+)(?:[-'’](\w+))?(?!\w)")
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of entities, in order and without overlap; an earlier rule keeps what it has found."""
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
 
     def take(a: int, b: int, kind: str, canon: str) -> None:
-        if all(b <= x or a >= y for x, y, *_ in found):
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
             found.append((a, b, kind, canon))
 
     if "@" in text:
@@ -100,9 +103,14 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             take(m.start("given"), m.end("given"), people[m["given"]], m["given"].lower())
             take(m.start("family"), m.end("family"), people[m["family"]], m["family"].lower())
     if people:
-        # Later mentions by one name only.
-        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(people, key=len, reverse=True)))})(?!\w)", text):
-            take(m.start(), m.end(), people[m[0]], m[0].lower())
+        # Later mentions by one name only; of a double word the whole, or the parts that are names.
+        for m in WORD.finditer(text):
+            if m[0] in people:
+                take(m.start(), m.end(), people[m[0]], m[0].lower())
+            elif m.end(1) < m.end():
+                for k in (1, 2):
+                    if m[k] in people:
+                        take(m.start(k), m.end(k), people[m[k]], m[k].lower())
     return sorted(found)
 
 
@@ -168,7 +176,9 @@ def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = canon.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_drawn(local, stream)}@{_drawn(host, _Stream(key, 'domain', domain, str(attempt)))}.{top}"
+        # Short addresses have few surrogates of their length; redrawn ones grow, so that there are always enough.
+        grown = "".join(p[stream.below(len(p))] for p in _ALPHABETS["LATIN"] * (attempt // 2))
+        return f"{_drawn(local, stream)}{grown}@{_drawn(host, _Stream(key, 'domain', domain, str(attempt)))}.{top}"
     if kind == "ip" and ":" not in canon:
         return ".".join(str(1 + stream.below(254)) for _ in range(4))
     if kind == "ip":
@@ -269,13 +279,15 @@ def redraws(texts: DataFrame, key: bytes, scratch: Scratch, most_rounds: int = 1
     return now.filter(F.col("attempt") > 0).select("kind", "canon", "new")
 
 
-def replace_private(docs: DataFrame, key: bytes = b"plexum", id_col: str = "doc_id", text_col: str = "text", max_sent: int = MAX_SENT) -> DataFrame:
+def replace_private(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", max_sent: int = MAX_SENT) -> DataFrame:
     """One row per document: doc_id, text with surrogates, n_entities (mentions), n_distinct, kinds (sorted, comma between).
 
     A null text stays null and has no entities; repeated rows and null ids come back as they are; other columns are not read. Texts do
     not move: the entities of all documents are drawn and checked first, and of those only the redrawn ones go to the tasks, or, beyond
-    `max_sent`, are joined to the documents that mention them.
+    `max_sent`, are joined to the documents that mention them. Whoever has the key can tell whether a surrogate is that of a given entity.
     """
+    if not key:
+        raise ValueError("a key is needed")
     scratch = Scratch(docs.sparkSession, "surrogates")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     odd = redraws(texts, key, scratch)
@@ -298,11 +310,11 @@ def replace_private(docs: DataFrame, key: bytes = b"plexum", id_col: str = "doc_
                 yield rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [table] * batch.num_rows)
 
         return texts.mapInArrow(run, schema)
-    keyed = texts.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
-    lists = _entities(keyed, ["rk"]).distinct().join(odd, ["kind", "canon"]).groupBy("rk").agg(F.collect_list(F.struct("kind", "canon", "new")).alias("own"))
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("rk"), F.xxhash64(F.lit(1), "text", "doc_id").alias("rk2"), "doc_id", "text")
+    lists = _entities(keyed, ["rk", "rk2"]).distinct().join(odd, ["kind", "canon"]).groupBy("rk", "rk2").agg(F.collect_list(F.struct("kind", "canon", "new")).alias("own"))
 
     def run_joined(batches):
         for batch in sliced(batches):
             yield rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [{(x["kind"], x["canon"]): x["new"] for x in own or ()} for own in batch.column(2).to_pylist()])
 
-    return keyed.join(lists, "rk", "left").select("doc_id", "text", "own").mapInArrow(run_joined, schema)
+    return keyed.join(lists, ["rk", "rk2"], "left").select("doc_id", "text", "own").mapInArrow(run_joined, schema)

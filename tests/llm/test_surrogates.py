@@ -1,4 +1,6 @@
 import re
+import string
+import time
 
 from plexum.llm import surrogates
 from plexum.llm.surrogates import detect, replace, surrogate
@@ -38,7 +40,7 @@ def test_operator(spark, docs, no_docs):
     by = sorted(out, key=lambda r: r.doc_id or 0)
     assert [(r.doc_id, r.n_entities) for r in by] == [(None, 1), (1, 13), (1, 13), (2, 0), (3, 0), (4, 0)]
     assert by[1].text == by[2].text and by[3].text is None and by[5].text == rows[5][1]
-    assert surrogates.replace_private(no_docs).count() == 0
+    assert surrogates.replace_private(no_docs, KEY).count() == 0
 
 
 def test_collisions(spark, monkeypatch):
@@ -81,3 +83,46 @@ def test_emitted_texts(spark):
         assert {r.kinds for r in out if rows[r.doc_id][0] == kind} == {kind}
         assert len(set(new)) == 200 and all(re.fullmatch(form, x) for x in new), kind
     assert replace("123-45-6789 and 123-45-6789", KEY, {("ssn", "123456789"): "456789012"})[0] == "456-78-9012 and 456-78-9012"
+
+
+def test_short_addresses(spark):
+    """More one-letter addresses than one-letter surrogates: all stay distinct, and none is an address of the corpus."""
+    mails = [f"{a}@{b}.com" for a in string.ascii_lowercase for b in string.ascii_lowercase]
+    out = surrogates.replace_private(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), KEY).collect()
+    assert len({r.text for r in out}) == 676 and not {r.text for r in out} & set(mails)
+
+
+def test_many_entities():
+    """Time follows the number of entities."""
+    took = []
+    for n in (10_000, 100_000):
+        text = " ".join(f"user{k}@mail{k % 97}.com Mr. {chr(65 + k % 26)}{'aeiou'[k % 5]}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}o" for k in range(n // 2))
+        start = time.process_time()
+        assert len(detect(text)) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_against_pairs(spark, rows):
+    """Over a whole corpus, held against every pair of mentions: one entity one surrogate, two entities two, no entity left, all else as it was."""
+    texts = [(k, f"{TEXT} {r[1] or ''} Mail a{k % 5}@mail.org or call +1 (017) 555-{7000 + k % 9}. Mrs. Anna Q{'aeiou'[k % 5]}rt.") for k, r in enumerate(rows)]
+    out = {r.doc_id: r.text for r in surrogates.replace_private(spark.createDataFrame(texts, "doc_id long, text string"), KEY).collect()}
+    seen = {}
+    for k, text in texts:
+        at, rest = 0, out[k]
+        found = detect(text)
+        for (a, b, kind, canon), nxt in zip(found, [*found[1:], None]):
+            plain = text[at:a]
+            assert rest.startswith(plain)
+            rest = rest[len(plain) :]
+            between = text[b : nxt[0]] if nxt else text[b:]
+            end = rest.index(between) if between else len(rest)
+            new, rest, at = rest[:end], rest[end:], b
+            form = re.sub(r"\W", "", new).lower() if kind in ("phone", "card") else new.lower()
+            assert seen.setdefault((kind.partition("-")[0], canon), form) == form
+            assert len(new) == b - a or kind.startswith("given") or kind in ("family", "ip", "email")
+        assert rest == text[at:]
+    by_space = {}
+    for (space, canon), form in seen.items():
+        assert by_space.setdefault((space, form), canon) == canon
+        assert (space, form) not in seen
