@@ -2,14 +2,15 @@
 
 Documents and benchmark items are joined on shared seeds of `least` tokens (rolling Karp-Rabin hashes). For each pair, the longest match of
 unmarked tokens is marked on both sides, again and again, until none of `least` tokens is left. An item leaks into a document if the tiles
-cover enough of the item, in whatever order they stand.
+cover enough of the item, in whatever order they stand. An item of under `least` tokens is its own seed and leaks where it stands whole.
 """
 
 from __future__ import annotations
 
-import heapq
+import functools
 import itertools
-from collections import defaultdict
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,99 +27,163 @@ COVERAGE = 0.6
 BLOCK_BYTES = 16_000_000
 
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+#: Letters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+_UNSPACED_LEAD = re.compile(b"[\xe0\xe1\xe3-\xe9\xef]")
 
 
 def tokens(data: bytes) -> list[bytes]:
-    """Words with A-Z in lower case; ASCII punctuation separates like space."""
+    """Words with A-Z in lower case; ASCII punctuation separates like space, and letters of unspaced scripts are a word each."""
+    if _UNSPACED_LEAD.search(data):
+        data = _UNSPACED.sub(r" \g<0> ", data.decode("utf-8", "replace")).encode("utf-8", "replace")
     return data.translate(_LOWER).split()
 
 
-def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hashes (mod 2**64) of all windows."""
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@functools.lru_cache(maxsize=64)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n - 1, base, np.uint64))), out=out)
+    return out
+
+
+def _size(n: int) -> int:
+    """The power of two from n on, so that few tables of powers are made."""
+    return 1 << max(4, n.bit_length())
+
+
+def prefixes(ids: np.ndarray) -> np.ndarray:
+    """Sums over the first i tokens of token times base**place (mod 2**64); differences are Karp-Rabin hashes of windows of any width."""
+    n = len(ids)
+    x = ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    return np.concatenate(([np.uint64(0)], np.cumsum(x * _powers(_BASE, _size(n))[:n], dtype=np.uint64)))
+
+
+def rolling(ids: np.ndarray, width: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """Karp-Rabin hashes of all windows, the same for the same tokens wherever they stand: each is shifted to one place."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    x = ids.astype(np.uint64)
-    for i in range(width):
-        out = out * _BASE + x[i : n + i]
-    return out
+    sums = prefixes(ids) if sums is None else sums
+    return (sums[width:] - sums[:n]) * _powers(_INVERSE, _size(n))[:n]
 
 
 class Items:
-    """A block of benchmark items: their words' numbers, token numbers, and an index of seeds."""
+    """A block of benchmark items: their words' numbers, token numbers, and an index of seeds: `least` tokens, or a shorter item whole."""
 
     def __init__(self, rows: list[tuple[int, bytes]], least: int = LEAST):
         self.least, self.number, self.items = least, {}, []
-        hashes, owners, places = [], [], []
+        found: dict[int, list] = {}
         for key, data in rows:
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in tokens(data)], np.int64)
-            h = rolling(ids, least)
-            hashes.append(h)
-            owners.append(np.full(len(h), len(self.items)))
-            places.append(np.arange(len(h)))
+            if len(ids):
+                width = min(least, len(ids))
+                h = np.unique(rolling(ids, width))
+                found.setdefault(width, []).append((h, np.full(len(h), len(self.items))))
             self.items.append((key, ids))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owners = np.concatenate(owners)[order] if owners else np.zeros(0, np.int64)
-        self.places = np.concatenate(places)[order] if places else np.zeros(0, np.int64)
-
-    def candidates(self, data: bytes) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-        """The document's token numbers (0: not in the benchmark), and for each item the seeds (place in the document, in the item)."""
+        #: By seed width: hashes in order, and the item of each.
+        self.seeds = {}
+        for width, parts in found.items():
+            h, owner = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            self.seeds[width] = h[order], owner[order]
+
+    def candidates(self, data: bytes) -> tuple[np.ndarray, list[int]]:
+        """The document's token numbers (0: not in the benchmark), and the items that share a seed with it."""
         words = tokens(data)
         ids = np.fromiter(map(self.number.get, words, itertools.repeat(0)), np.int64, len(words))
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if len(ids) >= self.least and len(self.hashes):
+        out: set[int] = set()
+        if len(ids) and ids.max():
+            sums = prefixes(ids)
             gaps = np.concatenate(([0], np.cumsum(ids == 0)))
-            at = np.flatnonzero(gaps[self.least :] == gaps[: -self.least])
-            if len(at):
-                h = np.zeros(len(at), np.uint64)
-                for i in range(self.least):
-                    h = h * _BASE + ids[at + i].astype(np.uint64)
-                low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-                for k in np.flatnonzero(high > low):
-                    for j in range(low[k], high[k]):
-                        found[int(self.owners[j])].append((int(at[k]), int(self.places[j])))
-        return ids, found
-
-
-def tile(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Tiles (place in a, place in b, length), longest first; of equals the first in a, then in b.
-
-    Seeds on one diagonal that follow each other make one maximal match. A match that earlier tiles have cut into goes back into the
-    queue as the parts that are left.
+            for width, (hashes, owners) in self.seeds.items():
+                if len(ids) < width:
+                    continue
+                known = gaps[width:] == gaps[:-width]
+                if known.any():
+                    own = rolling(ids, width, sums)[known]
+                    near = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    own = np.unique(own[hashes[near] == own])
+                    low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+                    hit = np.flatnonzero(high > low)
+                    if len(hit):
+                        # Each run of the index that a seed of the document has.
+                        n = high[hit] - low[hit]
+                        at = np.repeat(low[hit] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                        out.update(np.unique(owners[at]).tolist())
+        return ids, sorted(out)
+
+
+def tile(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """Tiles (place in a, place in b, length), longest first; of equals the first in a, then in b. Tokens 0 of a match nothing.
+
+    Running Karp-Rabin: the longest width at which unmarked windows of both sides agree is found by halving, since a common window holds
+    common windows of every lesser width. All tiles of that width are marked, and the width falls. A round takes time in
+    proportion to both sides, however often a text repeats itself.
     """
-    queue = []
-    seeds = sorted({(i - j, i, j) for i, j in seeds if np.array_equal(a[i : i + least], b[j : j + least])})
-    k = 0
-    while k < len(seeds):
-        d, i, j = seeds[k]
-        end = k
-        while end + 1 < len(seeds) and seeds[end + 1] == (d, seeds[end][1] + 1, seeds[end][2] + 1):
-            end += 1
-        heapq.heappush(queue, (-(end - k + least), i, j))
-        k = end + 1
-    in_a, in_b, out = set(), bytearray(len(b)), []
-    while queue:
-        length, i, j = heapq.heappop(queue)
-        length = -length
-        free = [i + k not in in_a and not in_b[j + k] for k in range(length)]
-        if all(free):
-            in_a.update(range(i, i + length))
-            in_b[j : j + length] = b"\1" * length
-            out.append((i, j, length))
-            continue
-        at = 0
-        for is_free, run in itertools.groupby(free):
-            n = len(list(run))
-            if is_free and n >= least:
-                heapq.heappush(queue, (-n, i + at, j + at))
-            at += n
+    least = max(1, min(least, len(b)))
+    shared = np.flatnonzero(np.isin(a, b) & (a > 0))
+    if not len(shared):
+        return []
+    # Only tokens that b has, with a gap of one token between runs.
+    jump = np.concatenate(([False], np.diff(shared) > 1))
+    place = shared + 0
+    at = np.arange(len(shared)) + np.cumsum(jump)
+    ids = np.zeros(at[-1] + 1, np.int64)
+    ids[at] = a[place]
+    back = np.full(len(ids), -1)
+    back[at] = place
+    free_a, free_b = ids > 0, np.ones(len(b), bool)
+    sums_a, sums_b, out = prefixes(ids), prefixes(b), []
+
+    def common(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Unmarked windows of both sides that agree: their places and hashes."""
+        found = []
+        for x, sums, free in ((ids, sums_a, free_a), (b, sums_b, free_b)):
+            taken = np.concatenate(([0], np.cumsum(~free)))
+            places = np.flatnonzero(taken[width:] == taken[:-width]) if len(x) >= width else np.zeros(0, np.int64)
+            found.append((places, rolling(x, width, sums)[places] if len(places) else np.zeros(0, np.uint64)))
+        (pa_, ha), (pb, hb) = found
+        ka, kb = np.isin(ha, hb), np.isin(hb, ha)
+        return pa_[ka], ha[ka], pb[kb], hb[kb]
+
+    top = min(len(ids), len(b))
+    while top >= least:
+        low, high = least - 1, top
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if len(common(mid)[0]) else (low, mid - 1)
+        if low < least:
+            break
+        pa_, ha, pb, hb = common(low)
+        where: dict[int, deque] = {}
+        for j, h in zip(pb.tolist(), hb.tolist()):
+            where.setdefault(h, deque()).append(j)
+        for i, h in zip(pa_.tolist(), ha.tolist()):
+            if not free_a[i : i + low].all():
+                continue
+            places = where[h]
+            while places and not free_b[places[0] : places[0] + low].all():
+                places.popleft()
+            if places and np.array_equal(ids[i : i + low], b[places[0] : places[0] + low]):
+                j = places.popleft()
+                free_a[i : i + low] = False
+                free_b[j : j + low] = False
+                out.append((int(back[i]), j, low))
+        top = low - 1
     return out
 
 
+def covered_by(ids: np.ndarray, own: np.ndarray, least: int) -> tuple[int, int]:
+    """Item tokens under tiles, and the number of tiles; an item of under `least` tokens counts whole or not at all."""
+    tiles = tile(ids, own, least)
+    return sum(x[2] for x in tiles), len(tiles)
+
+
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
     """The items in blocks of bounded size; one partition at a time comes to the driver."""
     block, size = [], 0
@@ -137,7 +202,7 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document and item whose coverage reaches the threshold: doc_id, item_id, coverage, tile_tokens, item_tokens, n_tiles.
 
-    Null and empty texts match nothing, and neither do items of under `least` tokens. Repeated rows on either side give repeated rows;
+    Null and empty texts match nothing; an item of under `least` tokens matches whole or not at all. Repeated rows on either side give repeated rows;
     null ids stay null. Other columns are not read.
     """
     schema = "doc_id long, item_id long, coverage double, tile_tokens long, item_tokens long, n_tiles long"
@@ -158,12 +223,11 @@ def _searcher(block: list[tuple[int, bytes]], least: int, coverage: float):
         items, rows = held[0], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids, found = items.candidates(as_bytes(text))
-            for owner, seeds in found.items():
+            for owner in found:
                 item, own = items.items[owner]
-                tiles = tile(ids, own, seeds, least)
-                covered = sum(x[2] for x in tiles)
+                covered, n = covered_by(ids, own, least)
                 if covered >= coverage * len(own):
-                    rows.append((key, item, covered / len(own), covered, len(own), len(tiles)))
+                    rows.append((key, item, covered / len(own), covered, len(own), n))
         return dict(zip(("doc_id", "item_id", "coverage", "tile_tokens", "item_tokens", "n_tiles"), zip(*rows))) if rows else None
 
     return run
@@ -181,7 +245,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def clean(items, text):
             ids, found = items.candidates(as_bytes(text))
-            return not any(sum(x[2] for x in tile(ids, items.items[o][1], seeds, least)) >= coverage * len(items.items[o][1]) for o, seeds in found.items())
+            return not any(covered_by(ids, items.items[o][1], least)[0] >= coverage * len(items.items[o][1]) for o in found)
 
         return run
 

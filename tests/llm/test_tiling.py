@@ -1,4 +1,5 @@
 import random
+import time
 
 from plexum.llm import tiling
 
@@ -32,8 +33,26 @@ def test_against_definition():
             doc[3:3] = item[k:] + ["x"] + item[:k]
         items = tiling.Items([(7, " ".join(item).encode())], 3)
         ids, found = items.candidates(" ".join(doc).encode())
-        tiles = tiling.tile(ids, items.items[0][1], found[0], 3) if found else []
-        assert sum(x[2] for x in tiles) == sum(x[2] for x in greedy(ids.tolist(), items.items[0][1].tolist(), 3)), seed
+        tiles = tiling.tile(ids, items.items[0][1], 3) if found else []
+        assert tiles == greedy(ids.tolist(), items.items[0][1].tolist(), 3), seed
+        for width in (1, 3, 5):
+            h = tiling.rolling(ids, width).tolist()
+            assert all((h[i] == h[j]) == (ids[i : i + width].tolist() == ids[j : j + width].tolist()) for i in range(len(h)) for j in range(i))
+
+
+def test_short_items_and_unspaced_scripts():
+    items = tiling.Items([(1, b"alpha beta"), (2, "\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3059".encode()), (3, b"x"), (4, b"")], 5)
+    found = lambda t: {items.items[o][0] for o in items.candidates(t.encode())[1] if tiling.covered_by(items.candidates(t.encode())[0], items.items[o][1], 5)[0] == len(items.items[o][1])}
+    assert found("so Alpha, beta it is") == {1} and found("beta alpha") == set() == found("") == found("alpha x2 beta")
+    assert found("\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3059\u3002") == {2} and found("an x") == {3}
+
+
+def test_repeats_in_linear_time():
+    items = tiling.Items([(1, b"spam " * 300)], 5)
+    start = time.process_time()
+    ids, found = items.candidates(b"spam " * 200_000)
+    assert found == [0] and tiling.tile(ids, items.items[0][1], 5) == [(0, 0, 300)]
+    assert time.process_time() - start < 10
 
 
 def test_operator(spark, docs, no_docs):
