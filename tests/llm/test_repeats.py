@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -65,9 +66,32 @@ def test_chunked_spans_cover_all_windows(monkeypatch):
         monkeypatch.setattr(repeats, "CHUNK", chunk)
         starts = []
         for _, begin, parts in repeats._chunks([1], [text], 200):
-            _, _, p, lo, hi = repeats.spans(parts, 200, 32)
+            _, p, lo, hi, _ = repeats.spans(parts, 200, 32, 128)
             ends = np.cumsum([len(x) for x in parts])
             row = np.searchsorted(ends, lo, "right")
             shift = np.array(begin)[row] - (ends - [len(x) for x in parts])[row]
             starts += [s for a, b in zip(lo + shift, hi + shift) for s in range(a, b + 1)]
         assert sorted(starts) == list(range(4801))
+
+
+def test_ranks_by_doubling():
+    """Equal strings have equal ranks and others not, at every length, alone and as pairs."""
+    rng = random.Random(2)
+    data = bytes(rng.choice(b"ab") for _ in range(600))
+    named = repeats.ranks(np.frombuffer(data, np.uint8), 64)
+    assert sorted(named) == [1, 2, 4, 8, 16, 32, 64]
+    for m, r in named.items():
+        assert len(r) == len(data) - m + 1 and len(set(r.tolist())) == len({data[i : i + m] for i in range(len(r))})
+    assert repeats.top_of(200, 21) == 128 and repeats._levels(32, 200) == [64, 128]
+    with pytest.raises(ValueError):
+        repeats.top_of(200, 120)
+
+
+def test_many_equal_rows(spark):
+    """Rows that are equal in id and text cost time in proportion to their number."""
+    text = " ".join(f"word{k}" for k in range(110))
+    docs = spark.createDataFrame([(1, text)] * 10_000 + [(2, "only " + text[:400])], "doc_id long, text string")
+    start = time.time()
+    got = repeats.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert {tuple(r) for r in got} == {(1, len(text), len(text), 1, 10_000), (2, 405, 400, 1, 1)}
+    assert time.time() - start < 90
