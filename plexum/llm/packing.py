@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import json
 import math
 import re
@@ -46,41 +47,70 @@ def tokenizer_of(path: str):
 #: A space that begins a token: the byte-level pattern takes the last space of a run together with the word, number or sign after it.
 _BEGINS = re.compile(r"(?= \S)")
 _INNER = re.compile(r" (?:\s|\Z)")
+#: A word of Latin, Greek or Cyrillic letters, with a few signs after it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ωА-џ]+)([.,;:!?()%*#&$]{0,3})")
 
 
 class Ids:
     """Token ids of texts by the tokenizers library, asked once for each part of a text that begins with a space.
 
     No token of the byte-level pattern reaches over the begin of such a part, so the ids of the parts, in a row, are those of the text.
-    Parts of over `longest` characters are not remembered; of the others, the `most` last asked and those used since then are. A tokenizer
-    of another kind, or one whose added tokens take in spaces, gets whole texts.
+    Parts of over `longest` characters are not remembered; of the others, about the `most` last asked and those used since then are. A
+    tokenizer of another kind, or one whose added tokens take in spaces, gets whole texts.
     """
 
-    def __init__(self, path: str, longest: int = 40, most: int = 300_000):
+    def __init__(self, path: str, longest: int = 40, most: int = 400_000):
         self.model, self.longest, self.most, self.known, self.older = tokenizer_of(path), longest, most, {}, {}
         spec = json.load(open(path, encoding="utf-8"))
+        # Bytes as the vocabulary writes them: letters and signs for themselves, the others from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in shown]
+        self.letters = {x: chr(256 + k) for k, x in enumerate(hidden)}
+        self.merges, self.signs = self.model.model, {}
         plain = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
         self.split = plain and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in spec.get("added_tokens", ()))
 
     def ask(self, part: str) -> tuple[int, ...]:
         return tuple(self.model.encode(part, add_special_tokens=False).ids)
 
+    def learn(self, part: str) -> tuple[int, ...]:
+        """The ids of a part not met before, given without the space it begins with. A word is one token of the pattern and the signs after it are
+        one, and the library's model merges a word by itself at half the cost of a whole call; all else is asked as it stands."""
+        m = _PLAIN.fullmatch(part)
+        if not m:
+            return self.ask(" " + part)
+        word, signs = m.groups()
+        ids = (self.known.get(word) or self.older.get(word)) if signs else None
+        if ids is None:
+            ids = tuple([x.id for x in self.merges.tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))])
+            if signs:
+                self.known[word] = ids
+        if signs:
+            if signs not in self.signs:
+                self.signs[signs] = self.ask(signs)
+            return ids + self.signs[signs]
+        return ids
+
     def of(self, text: str) -> list[int]:
         if not self.split:
             return list(self.ask(text))
-        parts = _BEGINS.split(text) if _INNER.search(text) else [x if not k else " " + x for k, x in enumerate(text.split(" "))]
-        known, out = self.known, []
-        for part in parts:
-            got = known.get(part)
-            if got is None:
-                got = self.older.get(part) or (self.ask(part) if part else ())
-                if len(part) <= self.longest:
-                    if len(known) >= self.most:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[part] = got
-            out += got
-        return out
+        if _INNER.search(text):
+            first, *parts = _BEGINS.split(text)
+            parts = [x[1:] for x in parts]
+        else:
+            first, *parts = text.split(" ")
+        known = self.known
+        got = list(map(known.get, parts))
+        if None in got:
+            for k, ids in enumerate(got):
+                if ids is None:
+                    part = parts[k]
+                    ids = got[k] = known.get(part) or self.older.get(part) or self.learn(part)
+                    if len(part) <= self.longest:
+                        known[part] = ids
+            if len(known) >= self.most:
+                self.older, self.known = known, {}
+        return [*(self.ask(first) if first else ()), *itertools.chain.from_iterable(got)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -55,7 +55,7 @@ def test_price():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Bc", "'s", "12", "é", "漢字", "\x1c", "\x85", "!?", "<|endoftext|>", "🙂", "   \n ", "'ll ", "　"]), max_size=12).map("".join))
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Bc", "'s", "12", "é", "漢字", "\x1c", "\x85", "!?", "<|endoftext|>", "🙂", "   \n ", "'ll ", "　", "Wörter,", " ñandú!?", "Слово.", "λόγος;", "ʯ", "ªº", "a%b", "(see)", " x.y"]), max_size=12).map("".join))
 def test_tokenizer(x):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert packing.Ids(path, most=3).of(x) == packing.tokenizer_of(path).encode(x, add_special_tokens=False).ids
