@@ -150,12 +150,12 @@ def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k: i
 
 
 def rivals(placed: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between classes that were held against the same first class and are still in different components.
+    """Edges (u, v) that connect, as links do, classes that were held against the same first class and are still in different components.
 
     placed: a (the first class), doc_id, n, root. Two classes of one list have its first class in common, so the groups by first class
     hold all pairs of all lists. A group is dealt
-    into blocks of about BLOCK classes of like size, and each pair of blocks is one small task that gives only links: no pair that
-    fails is ever a row.
+    into blocks of about BLOCK classes of like size, and each pair of blocks is one small task that gives a forest: no pair that
+    fails is ever a row, and of those that hold no more than there are classes.
     """
     groups = placed.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") < F.col("hi"))
     band = _band(F.col("n"), num, den)
@@ -178,7 +178,7 @@ def rivals(placed: DataFrame, docs: DataFrame, width: int, num: int, den: int, s
 
 
 def _block_links(pdf, width: int, num: int, den: int, columns: int = 8192):
-    """All links between the rows of a block whose roots differ, from products of the shared shingles' incidence matrix."""
+    """Stars that connect what the links between rows of a block whose roots differ connect, from products of the shared shingles' incidence matrix."""
     import pandas as pd
 
     cache = _Words()
@@ -201,8 +201,17 @@ def _block_links(pdf, width: int, num: int, den: int, columns: int = 8192):
         shared += matrix @ matrix.T
     shared = np.rint(shared).astype(np.int64)
     hit = (shared * den >= (sizes[:, None] + sizes[None, :] - shared) * num) & (roots[:, None] != roots[None, :]) & (ids[:, None] < ids[None, :])
-    i, j = np.nonzero(hit)
-    return pd.DataFrame({"u": ids[i], "v": ids[j]})
+    # Only who is reached from whom counts: a star for each component of the block, not all of its links.
+    hit |= hit.T
+    least = np.arange(len(ids))
+    while True:
+        new = np.minimum(least, np.where(hit, least[None, :], len(ids)).min(axis=1, initial=len(ids)))
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    i = np.flatnonzero(least != np.arange(len(ids)))
+    return pd.DataFrame({"u": ids[least[i]], "v": ids[i]})
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, k: int = K, full: int = FULL_OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
