@@ -11,7 +11,7 @@ from plexum import schema as S
 from plexum.functions.columns import rounded
 from plexum.operators import charts, evaluate, graphs, kernels, stats, vectors, wl
 from plexum.plans import experiment
-from plexum.sources.fixtures import GRAPH_SQL, GRAPHS, NODES, RESULTS_SQL, VECTOR_SQL, graph_view, results_view, vector_view
+from plexum.sources.fixtures import GRAPH_SQL, NODES, RESULTS_SQL, VECTOR_SQL, graph_view, results_view, vector_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -483,10 +483,10 @@ def wl_features(spark, sf_dir):
     return _wl(spark, sf_dir)[0]
 
 
-@query(_graph(f"SELECT round(sum((a / {GRAPHS}.0 - b / {GRAPHS}.0) * (a / {GRAPHS}.0 - b / {GRAPHS}.0)), 6) AS mmd FROM (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM ws)", _WL))
+@query(_graph(f"SELECT round(sum((a - b) / n * ((a - b) / n)), 6) AS mmd FROM (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM ws), (SELECT CAST(count(DISTINCT gid) AS DOUBLE) AS n FROM ggraphs)", _WL))
 def wl_linear_mmd(spark, sf_dir):
     _, a, b = _wl(spark, sf_dir)
-    n = spark.createDataFrame([(0, GRAPHS)], "cell int, n long")
+    n = graph_view(spark, sf_dir)[0].filter("side = 'original'").groupBy(F.lit(0).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     return vectors.sparse_linear_mmd(a.withColumn("cell", F.lit(0)), b.withColumn("cell", F.lit(0)), n, n, ["cell"]).drop("cell")
 
 
@@ -726,6 +726,26 @@ def netlsd_signature(spark, sf_dir):
     return kernels.netlsd(*graph_view(spark, sf_dir), _K).select("gid", "side", F.posexplode("x").alias("i", "h"))
 
 
+#: Traces of powers of the normalised Laplacian, which are power sums of its eigenvalues.
+_MOMENTS = """,
+pe AS (SELECT e.gid, e.side, sum(1.0 / (CAST(a.degree AS DOUBLE) * b.degree)) AS s FROM gedges e JOIN deg a ON a.gid = e.gid AND a.side = e.side AND a.node = e.u JOIN deg b ON b.gid = e.gid AND b.side = e.side AND b.node = e.v GROUP BY ALL),
+pt AS (SELECT t.gid, t.side, sum(1.0 / (CAST(a.degree AS DOUBLE) * b.degree * c.degree)) AS s FROM tri t JOIN deg a ON a.gid = t.gid AND a.side = t.side AND a.node = t.a JOIN deg b ON b.gid = t.gid AND b.side = t.side AND b.node = t.b JOIN deg c ON c.gid = t.gid AND c.side = t.side AND c.node = t.c GROUP BY ALL),
+mo AS (SELECT d.gid, d.side, count(*) AS n, CAST(count(*) FILTER (WHERE degree > 0) AS DOUBLE) AS m1, count(*) FILTER (WHERE degree > 0) + 2 * coalesce(any_value(pe.s), 0) AS m2, count(*) FILTER (WHERE degree > 0) + 6 * coalesce(any_value(pe.s), 0) - 6 * coalesce(any_value(pt.s), 0) AS m3
+  FROM deg d LEFT JOIN pe USING (gid, side) LEFT JOIN pt USING (gid, side) GROUP BY d.gid, d.side)"""
+
+
+@query(_graph("SELECT gid, side, round(m1, 6) AS m1, round(m2, 6) AS m2, round(m3, 6) AS m3 FROM mo", _MOMENTS))
+def spectral_moments(spark, sf_dir):
+    x = F.col("eigenvalue")
+    return kernels.spectra(*graph_view(spark, sf_dir), _K).groupBy(*_K).agg(F.sum(x).alias("m1"), F.sum(x * x).alias("m2"), F.sum(x * x * x).alias("m3"))
+
+
+@query(_graph("SELECT gid, side, round((n - t * m1 + t * t / 2 * m2 - t * t * t / 6 * m3) / n, 6) AS h FROM mo, (SELECT CAST(0.01 AS DOUBLE) AS t)", _MOMENTS))
+def heat_trace_start(spark, sf_dir):
+    """The heat trace at its first time, where its series is short."""
+    return kernels.netlsd(*graph_view(spark, sf_dir), _K).select("gid", "side", F.col("x")[0].alias("h"))
+
+
 @query()
 def spectra(spark, sf_dir):
     return kernels.spectra(*graph_view(spark, sf_dir), _K)
@@ -736,14 +756,22 @@ def diversity_curve(spark, sf_dir):
     return kernels.diversity(*graph_view(spark, sf_dir), _K, range(1, NODES + 1)).select("gid", "side", F.posexplode("x").alias("i", "spread"))
 
 
-@query()
+#: Shortest paths one by one, their number by pair of ends, and node and edge shares.
+_PATHS = _WALKS + """,
+sp AS (SELECT gid, side, node AS s, node AS t, 0 AS d FROM gnodes UNION ALL SELECT p.gid, p.side, p.s, n.other, p.d + 1 FROM sp p JOIN nb n ON n.gid = p.gid AND n.side = p.side AND n.node = p.t JOIN dist x ON x.gid = p.gid AND x.side = p.side AND x.s = p.s AND x.t = n.other AND x.d = p.d + 1),
+sig AS (SELECT gid, side, s, t, any_value(d) AS d, CAST(count(*) AS DOUBLE) AS c FROM sp GROUP BY gid, side, s, t),
+eb AS (SELECT e.gid, e.side, e.u, e.v, sum(a.c * b.c / z.c) AS weight FROM gedges e JOIN sig a ON a.gid = e.gid AND a.side = e.side AND a.t = e.u JOIN sig b ON b.gid = e.gid AND b.side = e.side AND b.s = e.v JOIN sig z ON z.gid = e.gid AND z.side = e.side AND z.s = a.s AND z.t = b.t AND z.d = a.d + 1 + b.d GROUP BY ALL),
+nw AS (SELECT a.gid, a.side, a.t AS node, sum(a.c * b.c / z.c) AS score FROM sig a JOIN sig b ON a.gid = b.gid AND a.side = b.side AND a.t = b.s AND a.s <> a.t AND b.t <> b.s AND a.s < b.t JOIN sig z ON z.gid = a.gid AND z.side = a.side AND z.s = a.s AND z.t = b.t AND z.d = a.d + b.d WHERE a.side = 'original' GROUP BY ALL)"""
+
+
+@query(_graph("SELECT o.gid, o.u, o.v, round(1 + coalesce(x.score, 0) / coalesce(m, 1) * coalesce(y.score, 0) / coalesce(m, 1), 6) AS weight FROM (SELECT DISTINCT gid, u, v FROM ops) o LEFT JOIN nw x ON x.gid = o.gid AND x.node = o.u LEFT JOIN nw y ON y.gid = o.gid AND y.node = o.v LEFT JOIN (SELECT gid, max(score) AS m FROM nw GROUP BY gid) k ON k.gid = o.gid", _OPS + _PATHS))
 def betweenness_weights(spark, sf_dir):
     g, a, b = _sides(spark, sf_dir)
     ops = graphs.edit_ops(a, b, ["gid"])
     return graphs.product_weights(ops, kernels.node_betweenness(g, a, ["gid"]), ["gid"])
 
 
-@query()
+@query(_graph("SELECT gid, side, u, v, round(weight, 6) AS weight FROM eb", _PATHS))
 def edge_betweenness(spark, sf_dir):
     return kernels.edge_betweenness(*graph_view(spark, sf_dir), _K)
 

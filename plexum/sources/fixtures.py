@@ -12,8 +12,8 @@ from plexum.shipping import ship
 
 #: Added before rounding, so that no engine meets a tie.
 UP = 1e-7
-#: Graphs of a population and nodes of a graph.
-GRAPHS, NODES = 20, 24
+#: Orders whose lines make a graph, so that the number of graphs follows the table, and nodes of a graph.
+ORDERS, NODES = 64, 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,21 +47,22 @@ rview AS (SELECT dataset, perturbation, workflow, alpha, seed, round(avg(l_exten
   FROM rview0 GROUP BY dataset, perturbation, workflow, alpha, seed)"""
 
 
-def graph_view(spark: SparkSession, sf_dir: str, graphs: int = GRAPHS, nodes: int = NODES) -> tuple[DataFrame, DataFrame]:
-    """(graphs, edges): side 'original' or 'perturbed', u < v, every graph with nodes 0..nodes-1."""
-    l = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") <= 8)  # noqa: E741
+def graph_view(spark: SparkSession, sf_dir: str, orders: int = ORDERS, nodes: int = NODES) -> tuple[DataFrame, DataFrame]:
+    """(graphs, edges) from all lines: side 'original' or 'perturbed', u < v, every graph with nodes 0..nodes-1."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    gid = F.floor(F.col("l_orderkey") / orders).cast("int").alias("gid")
     a, b = (F.col("l_partkey") % nodes).cast("int"), ((F.col("l_suppkey") * 7 + F.floor(F.col("l_partkey") / nodes)) % nodes).cast("int")
     side = F.when(F.col("l_linenumber") % 2 == 0, "perturbed").otherwise("original")
-    edges = l.select((F.col("l_orderkey") % graphs).cast("int").alias("gid"), side.alias("side"), F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct()
-    every = spark.range(graphs).select(F.col("id").cast("int").alias("gid"), F.explode(F.array(F.lit("original"), F.lit("perturbed"))).alias("side"), F.lit(nodes).alias("num_nodes"))
+    edges = l.select(gid, side.alias("side"), F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct()
+    every = l.select(gid).distinct().select("gid", F.explode(F.array(F.lit("original"), F.lit("perturbed"))).alias("side"), F.lit(nodes).alias("num_nodes"))
     return every, edges
 
 
 GRAPH_SQL = f"""
-gedges AS (SELECT DISTINCT gid, side, least(a, b) AS u, greatest(a, b) AS v FROM (SELECT CAST(l_orderkey % {GRAPHS} AS INTEGER) AS gid,
+gedges AS (SELECT DISTINCT gid, side, least(a, b) AS u, greatest(a, b) AS v FROM (SELECT CAST(l_orderkey // {ORDERS} AS INTEGER) AS gid,
   CASE WHEN l_linenumber % 2 = 0 THEN 'perturbed' ELSE 'original' END AS side, CAST(l_partkey % {NODES} AS INTEGER) AS a,
-  CAST((l_suppkey * 7 + l_partkey // {NODES}) % {NODES} AS INTEGER) AS b FROM lineitem WHERE l_quantity <= 8) WHERE a <> b),
-ggraphs AS (SELECT CAST(g AS INTEGER) AS gid, side, {NODES} AS num_nodes FROM range({GRAPHS}) t(g), (VALUES ('original'), ('perturbed')) s(side)),
+  CAST((l_suppkey * 7 + l_partkey // {NODES}) % {NODES} AS INTEGER) AS b FROM lineitem) WHERE a <> b),
+ggraphs AS (SELECT gid, side, {NODES} AS num_nodes FROM (SELECT DISTINCT CAST(l_orderkey // {ORDERS} AS INTEGER) AS gid FROM lineitem), (VALUES ('original'), ('perturbed')) s(side)),
 gnodes AS (SELECT gid, side, CAST(n AS INTEGER) AS node FROM ggraphs, range({NODES}) t(n))"""
 
 
