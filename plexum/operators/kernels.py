@@ -314,6 +314,36 @@ def diversity_curve(n: int, edges: list[Edge], scales: Sequence[int], repetition
     return (total / repetitions).tolist()
 
 
+def even_scales(n: int, most: int) -> list[int]:
+    """At most `most` numbers of nodes from 1 to n, evenly apart."""
+    k = min(most, n)
+    return [n] if k <= 1 else sorted({1 + round(i * (n - 1) / (k - 1)) for i in range(k)})
+
+
+def fixed_curve(n: int, edges: list[Edge], most: int, repetitions: int = 3) -> list[float]:
+    """The earlier diversity curve, without random draws: spread at even_scales, down by contraction of the edge of least mark, ties by a hash of
+    the repetition, the graph's structure and the edge. Under the number of components the curve runs straight to 1."""
+    if most < 1 or repetitions < 1:
+        raise ValueError("a scale and a repetition at least")
+    if not n:
+        return [0.0] * most
+    scales, base = even_scales(n, most), len(set(component_labels(n, edges)))
+    total = np.zeros(len(scales))
+    for r in range(repetitions):
+        cn, ce, values = n, edges, {}
+        for s in reversed(scales):
+            while cn > s and ce:
+                seed, marks = f"{r}|{cn}|{signature(cn, ce)!r}", _edge_marks(cn, ce)
+                k = min(range(len(ce)), key=lambda i: (marks[i], hashlib.sha256(f"{seed}|{ce[i]}".encode()).hexdigest()))
+                cn, ce = contract(cn, ce, ce[k])
+            values[s] = spread(cn, ce)
+        first = next((s for s in scales if s >= base), None)
+        if first is not None and first > 1:
+            values |= {s: 1 + (values[first] - 1) * (s - 1) / (first - 1) for s in scales if s < first}
+        total += [values[s] for s in scales]
+    return (total / repetitions).tolist()
+
+
 def diversity(graphs: DataFrame, edges: DataFrame, keys: Sequence[str], scales: Sequence[int], repetitions: int = 3) -> DataFrame:
     steps = list(scales)
     return map_graphs(compact(graphs, edges, keys), lambda n, e: [(diversity_curve(n, e, steps, repetitions),)], keys, "x array<double>")

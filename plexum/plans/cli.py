@@ -17,7 +17,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="plexum")
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run", help="compute a results table")
-    run.add_argument("config", choices=sorted(E.EXPERIMENTS))
+    run.add_argument("config", choices=sorted([*E.EXPERIMENTS, *E.MOLECULE_RUNS]))
+    run.add_argument("--molecules", help="folder of the molecule cache")
     run.add_argument("--output", required=True)
     run.add_argument("--workflows", nargs="+")
     run.add_argument("--seeds", type=int)
@@ -37,9 +38,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("plexum").getOrCreate()
+    spark = spark or SparkSession.builder.appName("plexum").config(map=E.THREAD_CAPS).getOrCreate()
     if args.command == "run":
-        config = E.EXPERIMENTS[args.config]()
+        config = E.molecule_run(args.config, args.molecules or "data") if args.config in E.MOLECULE_RUNS else E.EXPERIMENTS[args.config]()
         if args.workflows:
             config = replace(config, workflows=tuple(args.workflows))
         if args.seeds:

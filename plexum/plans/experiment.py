@@ -5,16 +5,21 @@ Originals and their representations depend on dataset and seed only, so they are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import logging
 import platform
+import resource
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow
 import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +28,7 @@ from pyspark.sql.types import StructType
 from plexum import schema as S
 from plexum.operators import kernels as K
 from plexum.shipping import ship
+from plexum.sources import artifacts, molecules
 from plexum.sources import results as R
 
 PROTOCOL, VERSION = "hash_streams_v1", "pairs_v1"
@@ -38,9 +44,13 @@ class Dataset:
     p_out: float = 0.0
     blocks: int = 1
     m: int = 1
+    #: Of family "molecules": the cache's folder and split, and the fingerprint it must have.
+    root: str = ""
+    split: str = ""
+    fingerprint: str = ""
 
     def params(self) -> str:
-        return K.canonical_json({k: v for k, v in asdict(self).items() if k != "name"})
+        return K.canonical_json({k: v for k, v in asdict(self).items() if k not in ("name", "root") and (v or k not in ("split", "fingerprint"))})
 
 
 @dataclass(frozen=True)
@@ -75,7 +85,28 @@ def replication_experiment() -> Experiment:
     return Experiment("replication", default_datasets(), seeds=tuple(range(24)))
 
 
-EXPERIMENTS: dict[str, Callable[[], Experiment]] = {"debug": debug_experiment, "full": full_experiment, "replication": replication_experiment}
+def _pilot(name: str, family: str, perturbation: str) -> Experiment:
+    return Experiment(name, tuple(d for d in default_datasets() if d.family == family), (perturbation,), seeds=(0, 1, 2))
+
+
+def ba_pilot_experiment() -> Experiment:
+    return _pilot("ba_pilot", "barabasi_albert", "triangle_insertion")
+
+
+def er_pilot_experiment() -> Experiment:
+    return _pilot("er_pilot", "erdos_renyi", "community_weakening")
+
+
+EXPERIMENTS: dict[str, Callable[[], Experiment]] = {
+    "debug": debug_experiment, "full": full_experiment, "replication": replication_experiment, "ba_pilot": ba_pilot_experiment, "er_pilot": er_pilot_experiment,
+}
+#: Molecule runs by name: split, graphs, strengths, seeds.
+MOLECULE_RUNS = {"molecules_debug": ("val", 10, (0.0, 0.5, 1.0), 2), "molecules_pilot": ("val", 100, S.ALPHAS, 3), "molecules": ("train", 100, S.ALPHAS, 24)}
+
+
+def molecule_run(name: str, root: str, fingerprint: str = "") -> Experiment:
+    split, graphs, alphas, seeds = MOLECULE_RUNS[name]
+    return replace(molecule_experiment(root, split, graphs, seeds=tuple(range(seeds)), fingerprint=fingerprint, alphas=alphas), name=name)
 
 
 def seeds_from_count(n: int, base: int = 0) -> tuple[int, ...]:
@@ -100,6 +131,33 @@ def config_hash(config: Experiment) -> str:
     return hashlib.sha1(K.canonical_json(payload).encode()).hexdigest()[:8]
 
 
+def code_files() -> dict[str, str]:
+    """The checksum of each of the package's files that results depend on."""
+    root = Path(__file__).resolve().parent.parent
+    files = [*root.glob("*.py"), *(f for part in ("functions", "operators", "plans", "sources") for f in (root / part).glob("*.py"))]
+    return {str(f.relative_to(root)): hashlib.sha256(f.read_bytes()).hexdigest() for f in sorted(files)}
+
+
+@functools.cache
+def _code_digest() -> str:
+    return hashlib.sha256(K.canonical_json(code_files()).encode()).hexdigest()
+
+
+def code_fingerprint(config: Experiment) -> str:
+    """Changes with the code and with the configuration, so that neither's results are mixed."""
+    return f"{_code_digest()[:12]}-{config_hash(config)}"
+
+
+def git_commit() -> str | None:
+    """The commit that the package's repository is at, read from its files; none without a repository."""
+    git = Path(__file__).resolve().parent.parent.parent / ".git"
+    try:
+        head = (git / "HEAD").read_text().strip()
+        return (git / head[5:]).read_text().strip() if head.startswith("ref: ") else head
+    except OSError:
+        return None
+
+
 def run_id(config: Experiment, now: datetime | None = None) -> str:
     return f"{(now or datetime.now(timezone.utc)).strftime('%Y-%m-%dT%H%M')}_{config_hash(config)}"
 
@@ -135,6 +193,8 @@ def originals(spark: SparkSession, config: Experiment, wanted: DataFrame | None
     ship(spark)
     byname = {d.name: d for d in config.datasets}
     units = (wanted if wanted is not None else cells(spark, config)).select("dataset", "seed").distinct()
+    drawn = [molecule_graphs(spark, d, units) for d in config.datasets if d.family == "molecules"]
+    units = units.filter(~F.col("dataset").isin([d.name for d in config.datasets if d.family == "molecules"]))
     sizes = F.create_map(*[F.lit(x) for d in config.datasets for x in (d.name, d.graphs)])
     units = K.spread_out(units.select("dataset", "seed", F.explode(F.sequence(F.lit(0), sizes[F.col("dataset")] - 1)).alias("graph_index")), ["dataset", "seed", "graph_index"])
 
@@ -145,7 +205,28 @@ def originals(spark: SparkSession, config: Experiment, wanted: DataFrame | None
         return [(row.dataset, int(row.seed), int(row.graph_index), d.nodes, _pack_edges(edges), labels)]
 
     names = [f.split()[0] for f in _GRAPH.split(", ")]
-    return units.mapInPandas(lambda it: _rows(it, make, names), _GRAPH)
+    out = units.mapInPandas(lambda it: _rows(it, make, names), _GRAPH)
+    for more in drawn:
+        out = out.unionByName(more)
+    return out
+
+
+def molecule_graphs(spark: SparkSession, dataset: Dataset, units: DataFrame) -> DataFrame:
+    """For each seed of the dataset's units, its sample of the cache's split."""
+    cache = molecules.load_manifest(spark, dataset.root, dataset.fingerprint or None)
+    records = molecules.read_split(spark, dataset.root, dataset.split, cache)
+    out = spark.createDataFrame([], _GRAPH)
+    for row in units.filter(F.col("dataset") == dataset.name).select("seed").distinct().collect():
+        edges = F.sort_array(F.transform("edges", lambda e: F.struct(F.array_min(e).alias("u"), F.array_max(e).alias("v"))))
+        got = molecules.sample(records, dataset.graphs, int(row.seed))
+        out = out.unionByName(got.select(F.lit(dataset.name).alias("dataset"), F.lit(int(row.seed)).alias("seed"), F.col("graph_index").cast("int"), "num_nodes", edges.alias("edges"), F.lit(None).cast("array<int>").alias("labels")))
+    return out
+
+
+def molecule_experiment(root: str, split: str = "train", graphs: int = 100, nodes: int = 40, seeds: Sequence[int] = tuple(range(3)), fingerprint: str = "", perturbations: Sequence[str] = S.PERTURBATIONS, alphas: Sequence[float] = S.ALPHAS) -> Experiment:
+    """An experiment over a molecule cache; `nodes` is the largest scale of diversity curves."""
+    data = Dataset("molecules", "molecules", graphs, nodes, root=root, split=split, fingerprint=fingerprint)
+    return Experiment("molecules", (data,), tuple(perturbations), tuple(alphas), tuple(seeds))
 
 
 _PAIR = "dataset string, seed int, graph_index int, perturbation string, alpha double, num_nodes int, edges array<struct<u:int,v:int>>, requested int, removed int, added int, edits int, weighted double, label_source string, no_op_reason string, graph_sha256 string"
@@ -235,7 +316,7 @@ def represent(graphs: DataFrame, keys: Sequence[str], config: Experiment) -> Dat
     scales = list(range(1, max(d.nodes for d in config.datasets) + 1))
     flows, options, custom = list(config.workflows), dict(config.options), dict(CUSTOM)
     target = StructType([graphs.schema[k] for k in keys])
-    for f in StructType.fromDDL("workflow string, dense array<double>, sparse map<string,double>, seconds double, error string"):
+    for f in StructType.fromDDL("workflow string, dense array<double>, sparse map<string,double>, seconds double, memory double, error string"):
         target = target.add(f)
 
     def make(row):
@@ -252,7 +333,8 @@ def represent(graphs: DataFrame, keys: Sequence[str], config: Experiment) -> Dat
                     dense, sparse, error = *representation(w, int(row.num_nodes), edges, options, scales), None
             except Exception as ex:  # noqa: BLE001  becomes the row's status
                 dense, sparse, error = None, None, f"{type(ex).__name__}: {ex}"
-            out.append((*key, w, dense, sparse, time.perf_counter() - start, error))
+            # The worker's highest resident memory so far, in MB.
+            out.append((*key, w, dense, sparse, time.perf_counter() - start, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, error))
         return out
 
     return K.spread_out(graphs.select(*keys, "num_nodes", "edges"), keys).mapInPandas(lambda it: _rows(it, make, target.names), target)
@@ -279,14 +361,52 @@ def sparse_scores(x: list[dict], y: list[dict]) -> tuple[float, float, float]:
     return shift * shift, shift, float(np.linalg.norm(a - b, axis=1).mean())
 
 
+def representation_details(workflow: str, x: list, y: list, bandwidth: float) -> dict:
+    """What a cell's scores are made of: paired distances, and for the two kernels their means or displacement and each pair's part of the MMD."""
+    if not x or len(x) != len(y):
+        raise ValueError("paired representations are needed")
+    if isinstance(x[0], dict):
+        names = {f: i for i, f in enumerate(sorted({f for d in (*x, *y) for f in d}))}
+        a, b = (np.zeros((len(s), len(names))) for s in (x, y))
+        for m, s in ((a, x), (b, y)):
+            for i, d in enumerate(s):
+                m[i, [names[f] for f in d]] = list(d.values())
+    else:
+        a, b = np.array(x, float), np.array(y, float)
+    out = {"available": True, "paired_distances": np.linalg.norm(a - b, axis=1).tolist()}
+    if isinstance(x[0], dict):
+        delta = b.mean(0) - a.mean(0)
+        out |= {"squared_mean_displacement": float(delta @ delta), "mmd_contributions": ((b - a) @ delta).tolist()}
+    elif workflow == "structural_statistics_mmd":
+        k = lambda p, q: np.exp(-((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2) / (2 * bandwidth**2))
+        xx, yy, xy = k(a, a), k(b, b), k(a, b)
+        out |= {"kernel_means": {"xx": float(xx.mean()), "yy": float(yy.mean()), "xy": float(xy.mean())}, "mmd_contributions": (xx.mean(1) + yy.mean(1) - xy.mean(1) - xy.mean(0)).tolist()}
+    return out
+
+
+def assert_reconstructed(details: dict, score: float, paired: float, tolerance: float = 1e-9) -> None:
+    """The scores follow from the details."""
+    again = [(float(np.mean(details["paired_distances"])), paired)]
+    if "kernel_means" in details:
+        m = details["kernel_means"]
+        again.append((max(0.0, m["xx"] + m["yy"] - 2 * m["xy"]), score))
+    if "squared_mean_displacement" in details:
+        again.append((details["squared_mean_displacement"], score))
+    if "mmd_contributions" in details:
+        again.append((max(0.0, float(np.mean(details["mmd_contributions"]))), score))
+    for got, want in again:
+        if abs(got - want) > tolerance * max(1.0, abs(want)):
+            raise ValueError(f"score not reconstructed: {got} and {want}")
+
+
 _CELL = ["dataset", "seed", "perturbation", "alpha"]
-_SCORE = "dataset string, seed int, perturbation string, alpha double, workflow string, graph_count int, distribution_score double, mean_shift_score double, paired_score double, runtime_seconds double, status string, error_message string"
+_SCORE = "dataset string, seed int, perturbation string, alpha double, workflow string, graph_count int, distribution_score double, mean_shift_score double, paired_score double, runtime_seconds double, diagnostic_seconds double, memory_mb double, workflow_body string, status string, error_message string"
 
 
 def cell_scores(before: DataFrame, after: DataFrame, config: Experiment) -> DataFrame:
-    """A row per cell and workflow. before: dataset, seed, graph_index, workflow, ...; after: with perturbation and alpha too."""
+    """A row per cell and workflow, with its details as a record's body. before: dataset, seed, graph_index, workflow, ...; after: with perturbation and alpha too."""
     bandwidth = float(config.options.get("bandwidth", 10.0))
-    a = before.select("dataset", "seed", "graph_index", "workflow", F.col("dense").alias("dense0"), F.col("sparse").alias("sparse0"), F.col("seconds").alias("seconds0"), F.col("error").alias("error0"))
+    a = before.select("dataset", "seed", "graph_index", "workflow", *(F.col(c).alias(f"{c}0") for c in ("dense", "sparse", "seconds", "memory", "error")))
     both = after.join(a, ["dataset", "seed", "graph_index", "workflow"])
     names = StructType.fromDDL(_SCORE).names
 
@@ -294,23 +414,40 @@ def cell_scores(before: DataFrame, after: DataFrame, config: Experiment) -> Data
         first, start = pdf.iloc[0], time.perf_counter()
         pdf = pdf.sort_values("graph_index")
         error = next((e for e in [*pdf["error"], *pdf["error0"]] if isinstance(e, str)), None)
-        got = (None, None, None)
+        got, body, spent = (None, None, None), None, None
         if error is None:
             try:
                 if isinstance(first.dense, type(None)):
-                    got = sparse_scores([dict(d) for d in pdf["sparse0"]], [dict(d) for d in pdf["sparse"]])
+                    x, y = [dict(d) for d in pdf["sparse0"]], [dict(d) for d in pdf["sparse"]]
+                    got = sparse_scores(x, y)
                 else:
-                    got = dense_scores(np.stack(pdf["dense0"]), np.stack(pdf["dense"]), bandwidth if first.workflow == "structural_statistics_mmd" else None)
+                    x, y = list(np.stack(pdf["dense0"])), list(np.stack(pdf["dense"]))
+                    got = dense_scores(np.stack(x), np.stack(y), bandwidth if first.workflow == "structural_statistics_mmd" else None)
+                scored = time.perf_counter()
+                details = representation_details(first.workflow, x, y, bandwidth)
+                assert_reconstructed(details, got[0], got[2])
+                body = K.canonical_json({**{c: first[c].item() if hasattr(first[c], "item") else first[c] for c in _CELL}, "workflow": first.workflow, "graph_index": [int(i) for i in pdf["graph_index"]], **details})
+                spent = time.perf_counter() - scored
             except Exception as ex:  # noqa: BLE001
-                error = f"{type(ex).__name__}: {ex}"
-        seconds = float(pdf["seconds"].sum() + pdf["seconds0"].sum() + time.perf_counter() - start)
-        return pd.DataFrame([(*(first[c] for c in _CELL), first.workflow, len(pdf), *got, seconds, "success" if error is None else "failed", error or "")], columns=names)
+                got, error = (None, None, None), f"{type(ex).__name__}: {ex}"
+        seconds = float(pdf["seconds"].sum() + pdf["seconds0"].sum() + time.perf_counter() - start - (spent or 0.0))
+        memory = float(max(pdf["memory"].max(), pdf["memory0"].max()))
+        return pd.DataFrame([(*(first[c] for c in _CELL), first.workflow, len(pdf), *got, seconds, spent, memory, body, "success" if error is None else "failed", error or "")], columns=names)
 
     return both.groupBy(*_CELL, "workflow").applyInPandas(score, _SCORE)
 
 
-def results(spark: SparkSession, config: Experiment, wanted: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """The results table of the configuration, or of the wanted cells; keep(df, name) may store a step that two later ones read."""
+def graph_bodies(base: DataFrame, made: DataFrame) -> DataFrame:
+    """A record's body for each cell: its pairs of graphs in order, with edits and hashes. A cell has as many graphs as its dataset says."""
+    old = base.select("dataset", "seed", "graph_index", F.col("edges").alias("original"))
+    pair = F.struct("graph_index", "num_nodes", F.col("original"), F.col("edges").alias("perturbed"), F.col("edits").alias("raw_edits"), (F.col("edits") == 0).alias("no_op"), "no_op_reason", F.sha2(F.to_json(F.struct("num_nodes", F.sort_array("original").alias("edges"))), 256).alias("original_hash"), F.sha2(F.to_json(F.struct("num_nodes", F.sort_array("edges").alias("edges"))), 256).alias("perturbed_hash"))
+    cell = made.join(old, ["dataset", "seed", "graph_index"]).groupBy(*_CELL).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    return cell.select(*_CELL, F.to_json(F.struct(*_CELL, "pairs")).alias("graph_body"))
+
+
+def results(spark: SparkSession, config: Experiment, wanted: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None, bodies: bool = False) -> DataFrame:
+    """The results table of the configuration, or of the wanted cells; keep(df, name) may store a step that two later ones read. With
+    `bodies`, the records that its checksums are of come as the columns graph_body and workflow_body."""
     keep = keep or (lambda df, name: df)
     base = keep(originals(spark, config, wanted), "originals")
     made = pairs(base, config)
@@ -321,15 +458,18 @@ def results(spark: SparkSession, config: Experiment, wanted: DataFrame | None =
     m0 = base.groupBy("dataset", "seed").agg(F.min(F.size("edges")).alias("lo0"), F.max(F.size("edges")).alias("hi0"))
     facts = made.groupBy(*_CELL).agg(F.avg("edits").alias("edit_distance_raw"), F.avg("weighted").alias("edit_distance_weighted"), F.min(F.size("edges")).alias("lo"), F.max(F.size("edges")).alias("hi"), F.min("num_nodes").alias("node_count_min"), F.max("num_nodes").alias("node_count_max"), F.min(F.when(F.col("label_source").isNotNull(), F.struct("graph_index", "label_source")))["label_source"].alias("label_source"))
     names = F.create_map(*[F.lit(x) for d in config.datasets for x in (d.name, d.params())])
-    out = scores.join(facts, _CELL).join(m0, ["dataset", "seed"])
+    out = scores.join(facts, _CELL).join(m0, ["dataset", "seed"]).join(graph_bodies(base, made), _CELL)
+    for kind in ("graph", "workflow"):
+        sha = F.sha2(F.col(f"{kind}_body").cast("binary"), 256)
+        out = out.withColumn(f"{kind}_sha256", sha).withColumn(f"{kind}_artifact", F.concat(F.lit(f"{kind}/"), sha))
     out = out.withColumns({
-        "dataset_params": names[F.col("dataset")], "workflow_params": F.lit(K.canonical_json(config.options)), "perturbation_params": F.lit("{}"), "schema_version": F.lit(VERSION), "randomness_protocol": F.lit(PROTOCOL), "code_fingerprint": F.lit(config_hash(config)),
+        "dataset_params": names[F.col("dataset")], "workflow_params": F.lit(K.canonical_json(config.options)), "perturbation_params": F.lit("{}"), "schema_version": F.lit(VERSION), "randomness_protocol": F.lit(PROTOCOL), "code_fingerprint": F.lit(code_fingerprint(config)),
         "edge_count_min": F.least("lo", "lo0"), "edge_count_max": F.greatest("hi", "hi0"), "perturbation_family": F.split_part("perturbation", F.lit("_"), F.lit(1)), "perturbation_direction": F.split_part("perturbation", F.lit("_"), F.lit(2)),
     })
     target = StructType.fromDDL(S.RESULTS)
     if wanted is not None:
         out = out.join(wanted.select(*_CELL, "workflow").distinct(), [*_CELL, "workflow"], "left_semi")
-    return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target))
+    return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target), *(["graph_body", "workflow_body"] if bodies else []))
 
 
 _KEY = [c for c in S.ROW_KEY]
@@ -344,7 +484,7 @@ def pending(grid: DataFrame, done: DataFrame, rerun_failed: bool = False) -> Dat
 def check_compatible(done: DataFrame, config: Experiment) -> None:
     """Results of another protocol, schema or configuration are not resumed."""
     row = done.agg(*(F.collect_set(c).alias(c) for c in ("schema_version", "randomness_protocol", "code_fingerprint"))).first()
-    for c, mine in (("schema_version", VERSION), ("randomness_protocol", PROTOCOL), ("code_fingerprint", config_hash(config))):
+    for c, mine in (("schema_version", VERSION), ("randomness_protocol", PROTOCOL), ("code_fingerprint", code_fingerprint(config))):
         if set(row[c]) - {mine}:
             raise ValueError(f"{c} differs: {sorted(row[c])} and {mine}")
 
@@ -353,6 +493,7 @@ def run_experiment(spark: SparkSession, config: Experiment, out_dir: str, resume
     """Compute what the results folder lacks and append it, by dataset and seed; gives the whole table. A run that was cut off is resumed by key."""
     config = with_seed_range(config, seed_range)
     path = f"{out_dir}/results"
+    R.recover_dir(spark, path)
     grid = cells(spark, config)
     wanted = None
     started = datetime.now(timezone.utc)
@@ -366,9 +507,9 @@ def run_experiment(spark: SparkSession, config: Experiment, out_dir: str, resume
         todo.write.mode("overwrite").parquet(f"{out_dir}/.todo")
         wanted = spark.read.schema(todo.schema).parquet(f"{out_dir}/.todo")
         if rerun_failed:
-            kept = f"{out_dir}/.kept"
-            done.filter(F.col("status") != "failed").write.mode("overwrite").partitionBy("dataset", "seed").parquet(kept)
-            spark.read.schema(done.schema).parquet(kept).write.mode("overwrite").partitionBy("dataset", "seed").parquet(path)
+            # Written beside and then put in its place, so that the table is whole in one of the two at any time.
+            done.filter(F.col("status") != "failed").write.mode("overwrite").partitionBy("dataset", "seed").parquet(f"{out_dir}/.kept")
+            R.replace_dir(spark, f"{out_dir}/.kept", path)
         if wanted.isEmpty():
             return R.read_results(spark, path)
 
@@ -376,18 +517,62 @@ def run_experiment(spark: SparkSession, config: Experiment, out_dir: str, resume
         df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
         return spark.read.schema(df.schema).parquet(f"{out_dir}/{name}")
 
-    results(spark, config, wanted, keep).write.mode("append").partitionBy("dataset", "seed").parquet(path)
+    log = logger(out_dir)
+    log.info("run %s: %s rows expected", run_id(config, started), expected_rows(config))
+    rows = keep(results(spark, config, wanted, keep, bodies=True), ".rows")
+    records = [rows.filter(F.col(f"{k}_body").isNotNull()).select(F.lit(k).alias("kind"), F.col(f"{k}_body").alias("body")) for k in ("graph", "workflow")]
+    artifacts.write(records[0].unionByName(records[1]), f"{out_dir}/artifacts")
+    rows.drop("graph_body", "workflow_body").write.mode("append").partitionBy("dataset", "seed").parquet(path)
     R.write_json(f"{out_dir}/run_manifest.json", manifest(config, started))
+    log.info("finished")
     return R.read_results(spark, path)
 
 
+def logger(out_dir: str) -> logging.Logger:
+    """Progress on the console and, where the folder is a local one, in run.log."""
+    log = logging.getLogger(f"plexum.{hashlib.sha1(out_dir.encode()).hexdigest()[:8]}")
+    if not log.handlers:
+        log.setLevel(logging.INFO)
+        log.propagate = False
+        handlers: list[logging.Handler] = [logging.StreamHandler()]
+        if "://" not in out_dir:
+            Path(out_dir).mkdir(parents=True, exist_ok=True)
+            handlers.append(logging.FileHandler(f"{out_dir}/run.log"))
+        for h in handlers:
+            h.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+            log.addHandler(h)
+    return log
+
+
+def acceleration_summary() -> dict[str, str]:
+    """What solves eigenvalue problems, for the manifest."""
+    return {"device": "cpu", "eigenvalue_solver": "numpy.linalg.eigvalsh"}
+
+
+def default_workers(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
+#: One thread for each task's numerical libraries; tasks are the parallelism.
+THREAD_CAPS = {f"spark.executorEnv.{x}": "1" for x in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS")}
+
+
 def manifest(config: Experiment, started: datetime) -> dict:
     return {
         "run_id": run_id(config, started), "config": json.loads(json.dumps(asdict(config))), "config_hash": config_hash(config), "expected_rows": expected_rows(config), "started_at": started.isoformat(), "ended_at": datetime.now(timezone.utc).isoformat(),
-        "versions": {"python": platform.python_version(), "spark": pyspark.__version__, "numpy": np.__version__, "pandas": pd.__version__}, "schema_version": VERSION, "randomness_protocol": PROTOCOL, "status": "finished",
+        "versions": {"python": platform.python_version(), "spark": pyspark.__version__, "numpy": np.__version__, "pandas": pd.__version__, "pyarrow": pyarrow.__version__}, "schema_version": VERSION, "randomness_protocol": PROTOCOL,
+        "code_fingerprint": code_fingerprint(config), "code_files": code_files(), "git_commit": git_commit(), "acceleration": acceleration_summary(), "status": "finished",
     }
 
 
+def run_debug_experiment(spark: SparkSession, out_dir: str, **options) -> DataFrame:
+    return run_experiment(spark, debug_experiment(), out_dir, **options)
+
+
+def run_full_experiment(spark: SparkSession, out_dir: str, **options) -> DataFrame:
+    return run_experiment(spark, full_experiment(), out_dir, **options)
+
+
 def merge_runs(shards: Sequence[DataFrame]) -> DataFrame:
     """One table of all shards: of rows with one key the first shard's; shards of another protocol, schema or configuration are an error."""
     if not shards:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plexum import schema as S
 from plexum.functions.columns import rounded
-from plexum.operators import charts, evaluate, graphs, kernels, stats, vectors, wl
+from plexum.operators import charts, diagnose, evaluate, graphs, kernels, stats, vectors, wl
 from plexum.plans import experiment
 from plexum.sources.fixtures import GRAPH_SQL, NODES, RESULTS_SQL, VECTOR_SQL, graph_view, results_view, vector_view
 
@@ -865,3 +865,84 @@ def perturbation_summary(spark, sf_dir):
     rows = evaluate.successes(results_view(spark, sf_dir)).groupBy("dataset", "perturbation", "alpha", "seed").agg(F.min(F.struct("workflow", "edit_distance_raw")).alias("f"))
     rows = rows.select("dataset", "perturbation", "alpha", F.col("seed").alias("graph_index"), F.col("f.edit_distance_raw").alias("edit_distance_raw"), F.when(F.col("seed") > 1, F.col("f.workflow")).alias("label_source"), F.lit(None).cast("string").alias("perturbation_family"), F.lit(None).cast("string").alias("perturbation_direction"))
     return graphs.perturbation_summary(rows, ["dataset", "perturbation", "alpha"], ["edit_distance_raw"]).select("dataset", "perturbation", "alpha", "edit_distance_raw", "label_source")
+
+
+# Analyses of pairs: the seeds of a setting stand for its graphs, scores for distances.
+
+_PAIR = "pr AS (SELECT dataset, perturbation, workflow, seed AS graph_index, alpha, distribution_score AS distance, paired_score AS contribution, edit_distance_raw AS raw_edits, mean_shift_score AS shift FROM ok)"
+
+
+def _pairs_sql(body: str, more: str = "") -> str:
+    return _results("").rstrip() + f", {_PAIR}{more}\n{body}"
+
+
+def _pairs(spark, sf_dir):
+    rows = evaluate.successes(results_view(spark, sf_dir))
+    return rows.select("dataset", "perturbation", "workflow", F.col("seed").alias("graph_index"), "alpha", F.col("distribution_score").alias("distance"), F.col("paired_score").alias("contribution"), F.col("edit_distance_raw").alias("raw_edits"), F.col("mean_shift_score").alias("shift"))
+
+
+_SET = ["dataset", "perturbation", "workflow"]
+
+
+@query(_pairs_sql("SELECT dataset, perturbation, alpha, count(*) AS graphs, count(*) FILTER (WHERE raw_edits = 0) AS no_ops, round(avg(raw_edits) + CAST(1e-8 AS DOUBLE), 6) AS mean_raw_edits, round(avg(distance), 6) AS mean_distance, round(avg(shift), 6) AS mean_shift FROM pr GROUP BY ALL"))
+def cell_structure(spark, sf_dir):
+    out = diagnose.cell_structure(_pairs(spark, sf_dir), ["distance"], ["shift"], ["dataset", "perturbation", "alpha"])
+    # Away from ties of rounding.
+    return out.withColumn("mean_raw_edits", F.col("mean_raw_edits") + 1e-8)
+
+
+@query(_pairs_sql("SELECT dataset, perturbation, workflow, alpha, round(avg(distance), 6) AS paired_score, round(q[1], 6) AS q0, round(q[2], 6) AS q25, round(q[3], 6) AS q50, round(q[4], 6) AS q75, round(q[5], 6) AS q90, round(q[6], 6) AS q100, changed_graphs, changed_at_zero FROM (SELECT dataset, perturbation, workflow, alpha, avg(distance) AS distance, quantile_cont(distance, [0, 0.25, 0.5, 0.75, 0.9, 1]) AS q, count(*) FILTER (WHERE raw_edits > 0) AS changed_graphs, count(*) FILTER (WHERE raw_edits > 0 AND distance <= 1e-10) AS changed_at_zero FROM pr GROUP BY ALL) GROUP BY ALL"))
+def distance_rows(spark, sf_dir):
+    return diagnose.distance_rows(_pairs(spark, sf_dir), [*_SET, "alpha"])
+
+
+@query(
+    _pairs_sql(
+        """SELECT dataset, perturbation, workflow, count(*) AS graphs, count(*) FILTER (WHERE f > 0) AS graphs_that_fall, CAST(sum(d) AS BIGINT) AS falls_despite_more_edits, CAST(sum(m) AS BIGINT) AS steps_with_more_edits FROM
+  (SELECT dataset, perturbation, workflow, graph_index, count(*) FILTER (WHERE distance - d0 < -tol AND a0 > 0) AS f, count(*) FILTER (WHERE distance - d0 < -tol AND raw_edits > e0) AS d, count(*) FILTER (WHERE raw_edits > e0) AS m FROM st GROUP BY ALL) GROUP BY ALL""",
+        """,
+st AS (SELECT *, lag(distance) OVER w AS d0, lag(raw_edits) OVER w AS e0, lag(alpha) OVER w AS a0, CAST(1e-10 AS DOUBLE) * greatest(1, max(abs(distance)) OVER (PARTITION BY dataset, perturbation, workflow)) AS tol FROM pr WINDOW w AS (PARTITION BY dataset, perturbation, workflow, graph_index ORDER BY alpha))""",
+    )
+)
+def distance_trajectories(spark, sf_dir):
+    return diagnose.trajectories(_pairs(spark, sf_dir), _SET)
+
+
+@query(
+    _pairs_sql(
+        """SELECT dataset, perturbation, workflow, count(*) AS graphs, count(*) FILTER (WHERE d > 1e-10) AS rises, count(*) FILTER (WHERE d < -1e-10) AS falls, count(*) FILTER (WHERE abs(d) <= 1e-10) AS stays, round(avg(d), 6) AS mean_change, round(median(d), 6) AS median_change,
+  count(*) FILTER (WHERE c > 1e-10) AS contribution_rises, count(*) FILTER (WHERE c < -1e-10) AS contribution_falls, round(avg(c), 6) AS mmd_change FROM tr WHERE d IS NOT NULL GROUP BY ALL""",
+        """,
+tr AS (SELECT dataset, perturbation, workflow, graph_index, max(CASE WHEN abs(alpha - CAST(0.4 AS DOUBLE)) < 1e-9 THEN distance END) - max(CASE WHEN abs(alpha - CAST(0.3 AS DOUBLE)) < 1e-9 THEN distance END) AS d, max(CASE WHEN abs(alpha - CAST(0.4 AS DOUBLE)) < 1e-9 THEN contribution END) - max(CASE WHEN abs(alpha - CAST(0.3 AS DOUBLE)) < 1e-9 THEN contribution END) AS c FROM pr GROUP BY ALL)""",
+    )
+)
+def distance_transitions(spark, sf_dir):
+    return diagnose.transitions(_pairs(spark, sf_dir), keys=_SET)
+
+
+@query(_results(f"SELECT {_KEYS}, alpha, seed, distribution_score AS saved, mean_shift_score AS again, round(abs(distribution_score - mean_shift_score), 6) AS error, abs(distribution_score - mean_shift_score) <= 5 AS reproduced FROM ok"))
+def score_reproduction(spark, sf_dir):
+    rows = evaluate.successes(results_view(spark, sf_dir))
+    keys = [*S.SETTING, "alpha", "seed"]
+    return diagnose.reproduction(rows, rows.drop("distribution_score").withColumnRenamed("mean_shift_score", "distribution_score"), "distribution_score", keys, 5.0)
+
+
+@query(
+    _results("").rstrip()
+    + f""", ho AS (SELECT dataset, workflow, perturbation, seed, rho FROM {_spearman('alpha', 'distribution_score', 'rho', '(SELECT * FROM ok WHERE alpha > 0)', _KEYS + ', seed')}),
+fa AS (SELECT {_KEYS}, seed, count(*) FILTER (WHERE d < -1e-10) AS falls FROM (SELECT {_KEYS}, seed, distribution_score - lag(distribution_score) OVER (PARTITION BY {_KEYS}, seed ORDER BY alpha) AS d FROM ok WHERE alpha > 0) GROUP BY ALL)
+SELECT dataset, workflow, perturbation, count(*) AS replicates, round(median(rho), 6) AS median_rho, CAST(sum(falls) AS BIGINT) AS falls FROM ho JOIN fa USING (dataset, workflow, perturbation, seed) GROUP BY ALL"""
+)
+def community_comparison(spark, sf_dir):
+    return diagnose.community_comparison(evaluate.successes(results_view(spark, sf_dir)), ("dataset", "workflow", "perturbation"))
+
+
+@query(
+    _vec("").rstrip()
+    + """, dr AS (SELECT CAST(w AS INTEGER) AS without FROM range(8) t(w)), cut AS (SELECT side, pair AS id, without, list_filter(x[1:8], lambda v, i: i <> without + 1) AS x FROM vview, dr),
+kk AS (SELECT a.without, a.side AS p, b.side AS q, avg(exp(-pow(list_distance(a.x, b.x), 2) / 2)) AS k FROM cut a JOIN cut b ON a.without = b.without GROUP BY ALL)
+SELECT without, round(greatest(sum(CASE WHEN p = q THEN k ELSE -k END), 0), 6) AS mmd FROM kk GROUP BY without"""
+)
+def descriptor_ablation(spark, sf_dir):
+    x, y = (d.withColumn("x", F.slice("x", 1, 8)) for d in _xy(spark, sf_dir))
+    return diagnose.ablation(x, y, 8, 1.0)

@@ -32,3 +32,13 @@ def broken(rows: DataFrame, records: DataFrame, column: str = "graph_sha256") ->
     """Rows whose record is missing or damaged."""
     good = records.filter("valid").select(F.col("sha256").alias(column)).distinct()
     return rows.join(good, column, "left_anti")
+
+
+def row_artifacts_valid(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """The rows with `valid`: whether both records that they name are there undamaged. Failed rows have no workflow record to have."""
+    good = records.filter("valid").select("kind", "sha256").distinct()
+    for kind in ("graph", "workflow"):
+        have = good.filter(F.col("kind") == kind).select(F.col("sha256").alias(f"{kind}_sha256"), F.lit(True).alias(f"_{kind}"))
+        rows = rows.join(have, f"{kind}_sha256", "left")
+    ok = F.coalesce("_graph", F.lit(False)) & (F.coalesce("_workflow", F.lit(False)) | (F.col("status") != "success"))
+    return rows.withColumn("valid", ok).drop("_graph", "_workflow")

@@ -24,6 +24,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def replace_dir(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder `new` in the place of `path`. Should it stop between its two renames, recover_dir brings the old one back."""
+    fs, target = _fs(spark, path)
+    made, old = _fs(spark, new)[1], _fs(spark, f"{path}.old")[1]
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} cannot be moved")
+    if not fs.rename(made, target):
+        raise OSError(f"{new} cannot be moved")
+    fs.delete(old, True)
+
+
+def recover_dir(spark: SparkSession, path: str) -> None:
+    """After a replacement that was cut off, the old folder is the one that counts."""
+    fs, target = _fs(spark, path)
+    old = _fs(spark, f"{path}.old")[1]
+    if fs.exists(old) and not fs.exists(target):
+        fs.rename(old, target)
+
+
 def resolve(spark: SparkSession, path: str) -> str:
     """The file itself, or a run folder's results.csv, results.csv.gz or results (Parquet), also below a results folder."""
     fs, p = _fs(spark, path)
