@@ -91,9 +91,15 @@ MEASURES = {
 }
 
 
+#: Columns that the measures read.
+_READ = (*S.SETTING, "alpha", "seed", "distribution_score", "mean_shift_score", "paired_score", "edit_distance_weighted", "runtime_seconds")
+
+
 def evaluation_summary(results: DataFrame) -> DataFrame:
     """A row per workflow, dataset and perturbation with successful rows: SUMMARY_COLUMNS and mean_shift_duplicates_distribution."""
-    ok, keys = successes(results), list(S.SETTING)
+    keys = list(S.SETTING)
+    # Six branches read these rows; they are computed once and kept while memory and disk allow.
+    ok = successes(results).select(*_READ).persist()
     out = spearman(ok, keys, MEASURES)
     out = out.join(monotonicity(ok, keys), keys, "left").fillna(0.0, ["monotonicity"])
     out = out.join(seed_variation(ok, keys), keys, "left").join(duplicate_mean_shift(ok, keys), keys, "left")

@@ -166,19 +166,27 @@ def inspect(d: np.ndarray, tol: float) -> dict[str, object]:
 
 
 def contrast_tests(steps: DataFrame, keys: Sequence[str] = SETTING) -> DataFrame:
-    """DIAGNOSTICS per contrast, one small group each; a contrast of under three seeds is 'too_few' and runs no test."""
+    """DIAGNOSTICS per contrast, whose differences by seed are one array; a contrast of under three seeds is 'too_few' and runs no test."""
     by = [*keys, "contrast", "alpha_low", "alpha_high"]
     target = StructType([steps.schema[k] for k in by])
     for f in StructType.fromDDL(DIAGNOSTICS):
         target = target.add(f)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        d = pdf.sort_values("seed")["d"].to_numpy()
-        got = inspect(d, float(pdf["tol"].max())) if len(d) >= 3 else dict.fromkeys(k.split()[0] for k in DIAGNOSTICS.split(", ")) | {"n": len(d), "constant": False, "all_zero": False, "screen": "too_few"} | {f"{t}_status": "not_run" for t in "tws"}
-        return pd.DataFrame([{k: first[k] for k in by} | got])[target.names]
-
-    return steps.groupBy(*by).applyInPandas(run, target)
+    names = [k.split()[0] for k in DIAGNOSTICS.split(", ")]
+    few = dict.fromkeys(names) | {"constant": False, "all_zero": False, "screen": "too_few"} | {f"{t}_status": "not_run" for t in "tws"}
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                d = np.asarray(row.d_, float)
+                got = inspect(d, float(row.tol_)) if len(d) >= 3 else few | {"n": len(d)}
+                rows.append((*row[: len(by)], *(got[k] for k in names)))
+            if rows:
+                yield pd.DataFrame.from_records(rows, columns=target.names)
+
+    # Replicates of a contrast are as many as an experiment's seeds.
+    d = F.transform(F.sort_array(F.collect_list(F.struct("seed", "d"))), lambda x: x["d"])
+    return steps.groupBy(*by).agg(d.alias("d_"), F.max("tol").alias("tol_")).mapInPandas(run, target)
 
 
 def corrected_slots(tested: DataFrame, keys: Sequence[str] = SETTING) -> DataFrame:
