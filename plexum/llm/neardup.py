@@ -4,8 +4,8 @@ Each document keeps the k least hashes of its shingles. Equal sets are one class
 overlap: a pair at the threshold shares `_overlap` values of its sketches (surely for sets of under k shingles, but for a chance of under
 1e-9 for larger ones), so each class is listed under its rarest values only, as many as make sure that such a pair meets. Values that
 most documents retain are so left out without a cap. In each list all classes are held against the first; those that are
-then still in different components are held against each other. The estimate from the sketch of the union drops most pairs, and the full sets
-confirm the rest.
+then still in different components are held against each other, in pairs or, where a list is long, in blocks. The estimate from the sketch of
+the union drops most pairs, and the full sets confirm the rest.
 """
 
 from __future__ import annotations
@@ -149,44 +149,46 @@ def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k: i
     return links
 
 
-def rivals(placed: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+def rivals(placed: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k: int, full: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Edges (u, v) that connect, as links do, classes that were held against the same first class and are still in different components.
 
     placed: a (the first class), doc_id, n, root. Two classes of one list have its first class in common, so the groups by first class
     hold all pairs of all lists. A group is dealt
-    into blocks of about BLOCK classes of like size, and each pair of blocks is one small task that gives a forest: no pair that
+    into blocks of about BLOCK classes of like size, and each pair of blocks is one small task. The task gets sketches first and keeps the
+    classes that the union's sketch leaves a partner; only their texts follow, and the full sets give a forest: no pair that
     fails is ever a row, and of those that hold no more than there are classes.
     """
     groups = placed.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") < F.col("hi"))
     band = _band(F.col("n"), num, den)
     dealt = placed.join(groups.select("a", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "a").select("a", "doc_id", "root", "parts", band.alias("band"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
     dealt = scratch.save(dealt, "dealt")
-    texts = docs.join(dealt.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     # A block meets itself, its band's later blocks, and all blocks of the next band; (x, y) and (y, x) are one task.
     own, step = F.struct(F.col("band").alias("g"), F.col("part").alias("p")), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")
     keys = dealt.select("a", "doc_id", "root", "band", "part", "parts", step).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
     other = F.struct((F.col("band") + F.col("step")).alias("g"), F.col("q").alias("p"))
     keys = keys.select("a", "doc_id", "root", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"))
-    # Tasks of one component or one class are left out before any text moves.
-    live = keys.groupBy("a", "x", "y").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") < F.col("hi")).select("a", "x", "y")
-    rows = keys.join(live, ["a", "x", "y"]).join(texts, "doc_id")
+    task = ["a", "xg", "xp", "yg", "yp"]
+    keys = keys.select("a", "doc_id", "root", F.col("x.g").alias("xg"), F.col("x.p").alias("xp"), F.col("y.g").alias("yg"), F.col("y.p").alias("yp"))
+    # Tasks of one component or one class are left out before any sketch moves.
+    live = keys.groupBy(*task).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") < F.col("hi")).select(*task)
+    drawn = keys.join(live, task).join(heads.select("doc_id", "n", "sketch"), "doc_id")
+
+    def estimate(pdf):
+        return pdf.loc[_with_partner(pdf, k, full, num, den), [*task, "doc_id", "root"]]
+
+    near = scratch.save(drawn.groupBy(*task).applyInPandas(estimate, "a long, xg int, xp int, yg int, yp int, doc_id long, root long").distinct(), "near")
+    texts = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
 
     def compare(pdf):
         return _block_links(pdf, width, num, den)
 
-    return rows.groupBy("a", "x", "y").applyInPandas(compare, "u long, v long").distinct()
+    return near.join(texts, "doc_id").groupBy(*task).applyInPandas(compare, "u long, v long").distinct()
 
 
-def _block_links(pdf, width: int, num: int, den: int, columns: int = 8192):
-    """Stars that connect what the links between rows of a block whose roots differ connect, from products of the shared shingles' incidence matrix."""
-    import pandas as pd
-
-    cache = _Words()
-    ids, roots = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy()
-    sets = [shingles(as_bytes(x), width, cache) for x in pdf["text"]]
-    sizes = np.array([len(x) for x in sets])
+def _shared(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many values each two of the sets share, from products of the shared values' incidence matrix."""
     values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     number = np.full(len(values), -1)
     number[count > 1] = np.arange(int((count > 1).sum()))
     at = number[at]
@@ -199,8 +201,48 @@ def _block_links(pdf, width: int, num: int, den: int, columns: int = 8192):
         matrix = np.zeros((len(sets), columns), np.float32)
         matrix[owner[a:b], at[a:b] - low] = 1
         shared += matrix @ matrix.T
-    shared = np.rint(shared).astype(np.int64)
-    hit = (shared * den >= (sizes[:, None] + sizes[None, :] - shared) * num) & (roots[:, None] != roots[None, :]) & (ids[:, None] < ids[None, :])
+    return np.rint(shared).astype(np.int64)
+
+
+def _with_partner(pdf, k: int, full: int, num: int, den: int) -> np.ndarray:
+    """Which rows of a block have a row of another root that the sketch of their union does not exclude; `verify` draws the same line.
+
+    Sets that their sketches hold whole are compared exactly. Of others, a pair must share `full` values among the union's k least.
+    """
+    ids, roots, n = (pdf[c].to_numpy() for c in ("doc_id", "root", "n"))
+    own = [np.sort(np.asarray(x).astype(np.int64, copy=False).view(np.uint64)) for x in pdf["sketch"]]
+    shared = _shared(own)
+    one, two = n[:, None], n[None, :]
+    open_ = (roots[:, None] != roots[None, :]) & (ids[:, None] != ids[None, :]) & (one * den >= two * num) & (two * den >= one * num)
+    whole = (one <= k) & (two <= k)
+    keep = (open_ & whole & (shared * den >= (one + two - shared) * num)).any(axis=1)
+    # A pair shares no more values among the union's least than in all.
+    open_ &= ~whole & (shared >= full)
+    padded = np.full((len(own), k), np.iinfo(np.uint64).max, np.uint64)
+    for i, x in enumerate(own):
+        padded[i, : len(x)] = x[:k]
+    for i in np.flatnonzero(open_.any(axis=1)):
+        if not keep[i]:
+            x, rows = own[i][:k], np.flatnonzero(open_[i])
+            theirs = padded[rows][:, None, :]
+            same = (theirs == x[None, :, None]).any(axis=2)
+            # The rank in the union of each value of x: those before it on either side, shared ones once.
+            rank = np.arange(len(x)) + (theirs < x[None, :, None]).sum(axis=2) - (np.cumsum(same, axis=1) - same)
+            passed = rows[(same & (rank < k)).sum(axis=1) >= full]
+            keep[passed] = True
+            keep[i] = len(passed) > 0
+    return keep
+
+
+def _block_links(pdf, width: int, num: int, den: int):
+    """Stars that connect what the links between rows of a block whose roots differ connect."""
+    import pandas as pd
+
+    cache = _Words()
+    ids, roots = pdf["doc_id"].to_numpy(), pdf["root"].to_numpy()
+    sets = [shingles(as_bytes(x), width, cache) for x in pdf["text"]]
+    sizes, shared = np.array([len(x) for x in sets]), _shared(sets)
+    hit = (shared * den >= (sizes[:, None] + sizes[None, :] - shared) * num) & (shared > 0) & (roots[:, None] != roots[None, :]) & (ids[:, None] < ids[None, :])
     # Only who is reached from whom counts: a star for each component of the block, not all of its links.
     hit |= hit.T
     least = np.arange(len(ids))
@@ -250,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     right = short.select("v", "g", "b", "nb", F.col("root").alias("rb"))
     pairs = left.join(right, ["v", "g"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sized(num, den)).select("a", "b").distinct()
     more = verify(pairs, docs, heads, width, k, full, num, den, scratch, "short")
-    long = scratch.save(rivals(apart.filter(F.col("c") > SHORT).select("a", F.col("b").alias("doc_id"), F.col("nb").alias("n"), "root").distinct(), docs, width, num, den, scratch), "long")
+    long = scratch.save(rivals(apart.filter(F.col("c") > SHORT).select("a", F.col("b").alias("doc_id"), F.col("nb").alias("n"), "root").distinct(), docs, heads, width, k, full, num, den, scratch), "long")
     more = more.unionByName(long)
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).unionByName(member.select(F.col("doc_id").alias("u"), F.col("to").alias("v")))
     final = scratch.save(components(edges, scratch, "last").filter(F.col("node") != F.col("root")), "final")

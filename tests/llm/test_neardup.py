@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from plexum.llm import neardup
@@ -84,3 +86,26 @@ def test_equal_upper_halves(spark):
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     links = neardup.verify(pairs, docs, heads, 1, 64, 30, 4, 5, Scratch(spark, "test"), "halves").collect()
     assert [tuple(r) for r in links] == [(1, 2)]
+
+
+@pytest.mark.parametrize("share", [0.5, 0.78, 0.9])
+def test_sketches_of_a_block(share):
+    """A block's rows keep a partner by the same line that the union of two sketches draws."""
+    rng = np.random.default_rng(int(share * 100))
+    pool = rng.integers(-(2**62), 2**62, 400)
+    sizes = rng.integers(20, 200, 60)
+    sets = [np.unique(np.concatenate([pool[: int(n * share)], rng.integers(-(2**62), 2**62, n - int(n * share))])) for n in sizes]
+    least = [np.sort(x.view(np.uint64))[:64] for x in sets]
+    roots = rng.integers(0, 3, 60)
+    pdf = pd.DataFrame({"doc_id": range(60), "root": roots, "n": [len(x) for x in sets], "sketch": [x.view(np.int64) for x in least]})
+    want = []
+    for i, x in enumerate(least):
+        found = False
+        for j, y in enumerate(least):
+            a, b = len(sets[i]), len(sets[j])
+            if roots[i] == roots[j] or 5 * a < 4 * b or 5 * b < 4 * a:
+                continue
+            union, both = sorted({*x.tolist()} | {*y.tolist()}), {*x.tolist()} & {*y.tolist()}
+            found |= 5 * len(both) >= 4 * len(union) if max(a, b) <= 64 else len(both & {*union[:64]}) >= neardup.FULL_OVERLAP
+        want.append(found)
+    assert neardup._with_partner(pdf, 64, neardup.FULL_OVERLAP, 4, 5).tolist() == want
