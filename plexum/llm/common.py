@@ -36,15 +36,29 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Non-empty parts of at most `rows` rows, so that few texts are Python objects at a time."""
+#: What a worker process remembers between its tasks, by what it was made for.
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembered(key: str, make: Callable[[], object]) -> object:
+    """The worker process's object for `key`, made at the first call. Idle workers live on through later stages, so a task that does not keep
+    the key drops it."""
+    if key not in _REMEMBERED:
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Non-empty parts of at most `rows` rows, so that few texts are Python objects at a time. Of what the process remembers, only `keeps` stays."""
+    for key in [x for x in _REMEMBERED if x != keeps]:
+        del _REMEMBERED[key]
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str) -> DataFrame:
-    """Run fn on parts of Arrow batches; fn gives a dict of column lists for a batch of output rows, or None."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str, keeps: str | None = None) -> DataFrame:
+    """Run fn on parts of Arrow batches; fn gives a dict of column lists for a batch of output rows, or None. keeps: see `sliced`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -52,7 +66,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
     arrow = to_arrow_schema(target)
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, keeps=keeps):
             out = fn(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

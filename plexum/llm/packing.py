@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexum.llm.common import Scratch, map_arrow, partitions
+from plexum.llm.common import Scratch, map_arrow, partitions, remembered
 
 CAPACITY = 2048
 #: Parts that the pieces of one length are ranked in, or as many as there are shuffle partitions, if more.
@@ -66,12 +66,16 @@ class Ids:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in shown]
         self.letters = {x: chr(256 + k) for k, x in enumerate(hidden)}
-        self.merges, self.signs = self.model.model, {}
+        self.merges, self.signs, self.numbers = self.model.model, {}, {}
         plain = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
         self.split = plain and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in spec.get("added_tokens", ()))
 
+    def once(self, ids: list[int]) -> tuple[int, ...]:
+        """The ids as a tuple of one object per number, however many words have it."""
+        return tuple([self.numbers.setdefault(x, x) for x in ids])
+
     def ask(self, part: str) -> tuple[int, ...]:
-        return tuple(self.model.encode(part, add_special_tokens=False).ids)
+        return self.once(self.model.encode(part, add_special_tokens=False).ids)
 
     def learn(self, part: str) -> tuple[int, ...]:
         """The ids of a part not met before, given without the space it begins with. A word is one token of the pattern and the signs after it are
@@ -82,7 +86,7 @@ class Ids:
         word, signs = m.groups()
         ids = (self.known.get(word) or self.older.get(word)) if signs else None
         if ids is None:
-            ids = tuple([x.id for x in self.merges.tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))])
+            ids = self.once([x.id for x in self.merges.tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))])
             if signs:
                 self.known[word] = ids
         if signs:
@@ -113,12 +117,6 @@ class Ids:
         return [*(self.ask(first) if first else ()), *itertools.chain.from_iterable(got)]
 
 
-@functools.lru_cache(maxsize=2)
-def ids_of(path: str) -> Ids:
-    """One memory a worker process, for all its tasks."""
-    return Ids(path)
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -132,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     turn = [0]
 
     def run(batch: pa.RecordBatch) -> dict:
-        tokens = ids_of(path)
+        tokens = remembered(path, lambda: Ids(path))
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = np.array([*tokens.of(text or ""), 0], "<u4")
@@ -144,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
         turn[0] += len(rows)
         return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "salt"), zip(*rows)))
 
-    return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, _PIECE)
+    return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, _PIECE, keeps=path)
 
 
 def _table(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

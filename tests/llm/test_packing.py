@@ -4,11 +4,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from plexum.llm import packing
+from plexum.llm import common, packing
 
 
 @settings(max_examples=25, deadline=None)
@@ -95,3 +96,12 @@ def test_operator(spark, docs, no_docs, rows):
         assert at <= 2048
     assert len(places) <= -(-sum(r.length for r in out) // 2048) + 1
     assert packing.pack(no_docs).count() == 0
+
+
+def test_a_worker_drops_what_other_tasks_remembered():
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    made = [common.remembered(x, lambda: [x]) for x in ("one", "two")]
+    list(common.sliced(iter([batch]), keeps="two"))
+    assert common.remembered("two", list) is made[1] and common.remembered("one", list) is not made[0]
+    list(common.sliced(iter([])))
+    assert common.remembered("two", list) is not made[1]
