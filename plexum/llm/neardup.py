@@ -166,12 +166,13 @@ def rivals(placed: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k:
     own, step = F.struct(F.col("band").alias("g"), F.col("part").alias("p")), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")
     keys = dealt.select("a", "doc_id", "root", "band", "part", "parts", step).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
     other = F.struct((F.col("band") + F.col("step")).alias("g"), F.col("q").alias("p"))
-    keys = keys.select("a", "doc_id", "root", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"))
+    keys = keys.select("a", "doc_id", "root", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own <= other).alias("is_x"), (own >= other).alias("is_y"))
     task = ["a", "xg", "xp", "yg", "yp"]
-    keys = keys.select("a", "doc_id", "root", F.col("x.g").alias("xg"), F.col("x.p").alias("xp"), F.col("y.g").alias("yg"), F.col("y.p").alias("yp"))
-    # Tasks of one component or one class are left out before any sketch moves.
-    live = keys.groupBy(*task).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(F.col("lo") < F.col("hi")).select(*task)
-    drawn = keys.join(live, task).join(heads.select("doc_id", "n", "sketch"), "doc_id")
+    keys = keys.select("a", "doc_id", "root", "is_x", "is_y", F.col("x.g").alias("xg"), F.col("x.p").alias("xp"), F.col("y.g").alias("yg"), F.col("y.p").alias("yp"))
+    # Tasks of one component, and those of a block and an empty one, are left out before any sketch moves.
+    live = keys.groupBy(*task).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("is_x").alias("x"), F.max("is_y").alias("y"))
+    live = live.filter((F.col("lo") < F.col("hi")) & F.col("x") & F.col("y")).select(*task)
+    drawn = keys.drop("is_x", "is_y").join(live, task).join(heads.select("doc_id", "n", "sketch"), "doc_id")
 
     def estimate(pdf):
         return pdf.loc[_with_partner(pdf, k, full, num, den), [*task, "doc_id", "root"]]
