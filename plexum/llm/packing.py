@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import bisect
 import functools
-import itertools
 import json
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -34,6 +34,8 @@ ROUNDS = 20_000
 STEP, RATE, SLACK = 0.25, 0.3, 0.02
 #: Share of the capacity from which on a sequence counts as full.
 FULL = 0.998
+#: The id 0 that ends a document, packed.
+END = bytes(4)
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
 
@@ -52,7 +54,8 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ωА-џ]+)([.,;:!?()%*#&$]{
 
 
 class Ids:
-    """Token ids of texts by the tokenizers library, asked once for each part of a text that begins with a space.
+    """Token ids of texts by the tokenizers library, asked once for each part of a text that begins with a space. Ids are kept and joined as
+    little-endian unsigned 32-bit numbers.
 
     No token of the byte-level pattern reaches over the begin of such a part, so the ids of the parts, in a row, are those of the text.
     Parts of over `longest` characters are not remembered; of the others, about the `most` last asked and those used since then are. A
@@ -66,18 +69,14 @@ class Ids:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in shown]
         self.letters = {x: chr(256 + k) for k, x in enumerate(hidden)}
-        self.merges, self.signs, self.numbers = self.model.model, {}, {}
+        self.merges, self.signs = self.model.model, {}
         plain = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
         self.split = plain and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in spec.get("added_tokens", ()))
 
-    def once(self, ids: list[int]) -> tuple[int, ...]:
-        """The ids as a tuple of one object per number, however many words have it."""
-        return tuple([self.numbers.setdefault(x, x) for x in ids])
+    def ask(self, part: str) -> bytes:
+        return array("I", self.model.encode(part, add_special_tokens=False).ids).tobytes()
 
-    def ask(self, part: str) -> tuple[int, ...]:
-        return self.once(self.model.encode(part, add_special_tokens=False).ids)
-
-    def learn(self, part: str) -> tuple[int, ...]:
+    def learn(self, part: str) -> bytes:
         """The ids of a part not met before, given without the space it begins with. A word is one token of the pattern and the signs after it are
         one, and the library's model merges a word by itself at half the cost of a whole call; all else is asked as it stands."""
         m = _PLAIN.fullmatch(part)
@@ -86,7 +85,7 @@ class Ids:
         word, signs = m.groups()
         ids = (self.known.get(word) or self.older.get(word)) if signs else None
         if ids is None:
-            ids = self.once([x.id for x in self.merges.tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))])
+            ids = array("I", [x.id for x in self.merges.tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))]).tobytes()
             if signs:
                 self.known[word] = ids
         if signs:
@@ -96,8 +95,11 @@ class Ids:
         return ids
 
     def of(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def packed(self, text: str) -> bytes:
         if not self.split:
-            return list(self.ask(text))
+            return self.ask(text)
         if _INNER.search(text):
             first, *parts = _BEGINS.split(text)
             parts = [x[1:] for x in parts]
@@ -114,7 +116,7 @@ class Ids:
                         known[part] = ids
             if len(known) >= self.most:
                 self.older, self.known = known, {}
-        return [*(self.ask(first) if first else ()), *itertools.chain.from_iterable(got)]
+        return (self.ask(first) if first else b"") + b"".join(got)
 
 
 def default_tokenizer() -> str:
@@ -133,12 +135,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
         tokens = remembered(path, lambda: Ids(path))
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.array([*tokens.of(text or ""), 0], "<u4")
-            first = len(ids) % capacity or capacity
-            cuts = [0, *range(first, len(ids) + 1, capacity)]
+            ids = tokens.packed(text or "") + END
+            n = len(ids) // 4
+            first = n % capacity or capacity
+            cuts = [0, *range(first, n + 1, capacity)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 # Pieces are dealt in turn, so that neither one length nor one repeated row gathers in a part.
-                rows.append((key, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), (turn[0] + len(rows)) % salts))
+                rows.append((key, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), (turn[0] + len(rows)) % salts))
         turn[0] += len(rows)
         return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "salt"), zip(*rows)))
 

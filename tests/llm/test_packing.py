@@ -62,6 +62,14 @@ def test_tokenizer(x):
     assert packing.Ids(path, most=3).of(x) == packing.tokenizer_of(path).encode(x, add_special_tokens=False).ids
 
 
+def test_ids_are_kept_packed():
+    """A word met before costs no number objects: what is remembered and given are the ids' bytes."""
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "the cat, the dog (see) the cat,"
+    assert ids.packed(text) == np.array(ids.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == ids.packed(text)
+    assert ids.known and all(isinstance(x, bytes) for x in ids.known.values())
+
+
 def test_long_runs():
     ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
     assert len(ids.of(" " * 1_000_000)) == 1_000_000 and len(ids.of("\n" * 1_000_000)) == 500_000
