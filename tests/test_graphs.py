@@ -253,3 +253,24 @@ def test_nearly_constant_by_the_farthest(spark, monkeypatch):
     assert vectors.kernel_nearly_constant(cells(spark, a=ball * 0.3 * limit)).first().nearly_constant
     with pytest.raises(Exception, match="differ in length"):
         vectors.kernel_nearly_constant(cells(spark, a=[[1.0], [1.0, 2.0]])).collect()
+
+
+def test_gram_by_packs(spark, monkeypatch):
+    """Common, rare and lone features, negative values and zeros, copies, text ids, several cells: as from a join, which no plan has."""
+    rng = random.Random(5)
+    vecs = {}
+    for c, n in (("counts", 50), ("signed", 40), ("one", 1)):
+        for i in range(n):
+            x = {f"common{rng.randrange(3)}": rng.randrange(1, 4) for _ in range(2)} | {f"rare{rng.randrange(60)}": rng.randrange(1, 3) for _ in range(3)} | ({f"own{i}": 1} if i % 3 else {})
+            vecs[c, f"v{i}"] = {f: float(v if c != "signed" else rng.choice([-1, 0, 0.5, v])) for f, v in x.items()}
+    for i in range(6):
+        vecs["counts", f"w{i}"] = dict(vecs["counts", "v3"])
+    vecs["counts", "apart"] = {"lone": 2.0}
+    df = spark.createDataFrame([(c, i, f, v) for (c, i), x in vecs.items() for f, v in x.items()], "c string, id string, feature string, value double")
+    dot = lambda x, y: sum(v * y.get(f, 0.0) for f, v in x.items())
+    pairs = [(c, *sorted((i, j))) for (c, i), (d, j) in itertools.combinations_with_replacement(vecs, 2) if c == d]
+    monkeypatch.setattr(vectors, "PACK", 16)
+    monkeypatch.setattr(vectors, "ROWS_PACK", 16)
+    got = {(r.c, r.i, r.j): r.k for r in vectors.gram(df, ["c"]).collect()}
+    want = {(c, i, j): dot(vecs[c, i], vecs[c, j]) for c, i, j in pairs if vecs[c, i].keys() & vecs[c, j].keys()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
