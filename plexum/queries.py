@@ -833,7 +833,7 @@ def experiment_results(spark, sf_dir):
 @query(_graph("SELECT side, round(h, 6) AS bandwidth, round(avg(exp(-d2 / (2 * h * h))), 6) AS kernel FROM (SELECT p.side, p.d2, m.h FROM gd p JOIN (SELECT side, coalesce(median(sqrt(d2)) FILTER (WHERE d2 > 0), 1) AS h FROM gd GROUP BY side) m USING (side)) GROUP BY side, h", _WL + ",\ngk AS (SELECT x.side, x.gid AS i, y.gid AS j, CAST(sum(x.value * y.value) AS DOUBLE) AS k FROM wl x JOIN wl y ON x.side = y.side AND x.feature = y.feature AND x.gid <= y.gid GROUP BY ALL),\ngd AS (SELECT a.side, a.i, b.i AS j, greatest(a.k + b.k - 2 * coalesce(g.k, 0), 0) AS d2 FROM gk a JOIN gk b ON a.side = b.side AND a.i = a.j AND b.i = b.j AND a.i < b.i LEFT JOIN gk g ON g.side = a.side AND g.i = a.i AND g.j = b.i)"))
 def wl_rbf(spark, sf_dir):
     """An RBF kernel on subtree features, through dot products, at the median distance."""
-    return vectors.rbf_from_distances(vectors.gram_distances(vectors.gram(_wl(spark, sf_dir)[0], ["side"], "gid"), ["side"]), ["side"])
+    return vectors.rbf_from_distances(vectors.gram_distances(_wl(spark, sf_dir)[0], ["side"], "gid"), ["side"])
 
 
 @query()

@@ -274,3 +274,13 @@ def test_gram_by_packs(spark, monkeypatch):
     got = {(r.c, r.i, r.j): r.k for r in vectors.gram(df, ["c"]).collect()}
     want = {(c, i, j): dot(vecs[c, i], vecs[c, j]) for c, i, j in pairs if vecs[c, i].keys() & vecs[c, j].keys()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    found = vectors.gram_distances(df, ["c"])
+    far = {c: sorted(max(dot(x, x) + dot(y, y) - 2 * dot(x, y), 0.0) for c2, i, j in pairs if c2 == c and i != j for x, y in [(vecs[c, i], vecs[c, j])]) for c in ("counts", "signed")}
+    for c, d2 in far.items():
+        rows = sorted((r.d2, r.n) for r in found.filter(f"c = '{c}'").collect())
+        assert [v for v, n in rows for _ in range(n)] == pytest.approx(d2)
+        r = vectors.rbf_from_distances(found.filter(f"c = '{c}'"), ["c"]).first()
+        h = np.median([math.sqrt(v) for v in d2 if v > 0])
+        assert (r.bandwidth, r.kernel) == (pytest.approx(h), pytest.approx(np.mean([math.exp(-v / (2 * h * h)) for v in d2])))
+    assert found.filter("c = 'counts'").count() < 60
+    assert vectors.rbf_from_distances(vectors.gram_distances(df.filter("c = 'counts'"))).first().bandwidth == pytest.approx(np.median([math.sqrt(v) for v in far["counts"] if v > 0]))
