@@ -83,7 +83,8 @@ def inverted_lists(heads: DataFrame, k: int, full: int, num: int, den: int) -> D
     """(v, doc_id, n): the rarest retained values of each class that another class has too."""
     values = heads.select("doc_id", "n", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
-    own = values.join(shared, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own"))
+    # A sketch counts as one value in Spark's estimate of the size, so the values are not to be broadcast.
+    own = values.hint("merge").join(shared, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own"))
     held = F.least(F.col("n"), F.lit(k))
     room = held - _overlap(F.col("n"), k, full, num, den) + 1 - (held - F.size("own"))
     return own.withColumn("room", room.cast("int")).filter(F.col("room") > 0).select("doc_id", "n", F.explode(F.slice("own", F.lit(1), F.col("room"))).alias("o")).select("o.v", "doc_id", "n")
@@ -172,7 +173,9 @@ def rivals(placed: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k:
     # Tasks of one component, and those of a block and an empty one, are left out before any sketch moves.
     live = keys.groupBy(*task).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("is_x").alias("x"), F.max("is_y").alias("y"))
     live = live.filter((F.col("lo") < F.col("hi")) & F.col("x") & F.col("y")).select(*task)
-    drawn = keys.drop("is_x", "is_y").join(live, task).join(heads.select("doc_id", "n", "sketch"), "doc_id")
+    # Keys grow with the square of a long list, but Spark takes them for as small as the file they come from, and would gather them on the driver
+    # to broadcast them.
+    drawn = keys.drop("is_x", "is_y").hint("merge").join(live, task).hint("merge").join(heads.select("doc_id", "n", "sketch"), "doc_id")
 
     def estimate(pdf):
         return pdf.loc[_with_partner(pdf, k, full, num, den), [*task, "doc_id", "root"]]
@@ -183,7 +186,7 @@ def rivals(placed: DataFrame, docs: DataFrame, heads: DataFrame, width: int, k:
     def compare(pdf):
         return _block_links(pdf, width, num, den)
 
-    return near.join(texts, "doc_id").groupBy(*task).applyInPandas(compare, "u long, v long").distinct()
+    return near.hint("merge").join(texts, "doc_id").groupBy(*task).applyInPandas(compare, "u long, v long").distinct()
 
 
 def _shared(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -280,7 +283,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5,
     band = _band(F.col("n"), num, den)
     lists = lists.select("v", "doc_id", "n", F.explode(F.array(band, band + 1)).alias("g"))
     first = lists.groupBy("v", "g").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select("v", "g", "c", F.col("f.doc_id").alias("a"), F.col("f.n").alias("na"))
-    others = scratch.save(lists.select("v", "g", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(first, ["v", "g"]).filter(F.col("a") != F.col("b")), "others")
+    # The file of a large group's lists is small, as each repeats the same ids; its rows are not, so they are not to be broadcast.
+    others = scratch.save(lists.select("v", "g", F.col("doc_id").alias("b"), F.col("n").alias("nb")).hint("merge").join(first, ["v", "g"]).filter(F.col("a") != F.col("b")), "others")
     scratch.drop("lists")
     star = others.filter(_sized(num, den)).select("a", "b").distinct()
     links = verify(star, docs, heads, width, k, full, num, den, scratch, "star")

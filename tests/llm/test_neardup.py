@@ -109,3 +109,18 @@ def test_sketches_of_a_block(share):
             found |= 5 * len(both) >= 4 * len(union) if max(a, b) <= 64 else len(both & {*union[:64]}) >= neardup.FULL_OVERLAP
         want.append(found)
     assert neardup._with_partner(pdf, 64, neardup.FULL_OVERLAP, 4, 5).tolist() == want
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Values, lists and keys of blocks are many rows behind small files; on the driver a large group's take hundreds of MB."""
+    plans, save = {}, Scratch.save
+
+    def saved(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(40)) + f" end{k}") for k in range(30)], "doc_id long, text string")
+    assert neardup.near_duplicates(docs, 2).filter("kept").count() == 1
+    for name in ("lists", "others", "near"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name], name
