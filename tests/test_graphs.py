@@ -284,3 +284,16 @@ def test_gram_by_packs(spark, monkeypatch):
         assert (r.bandwidth, r.kernel) == (pytest.approx(h), pytest.approx(np.mean([math.exp(-v / (2 * h * h)) for v in d2])))
     assert found.filter("c = 'counts'").count() < 60
     assert vectors.rbf_from_distances(vectors.gram_distances(df.filter("c = 'counts'"))).first().bandwidth == pytest.approx(np.median([math.sqrt(v) for v in far["counts"] if v > 0]))
+
+
+def test_gram_deals_no_copies(spark, monkeypatch):
+    """Packs meet in a product of tables, not as copies in an exchange, and features of a graph come from a kernel as from joins."""
+    graphs = spark.createDataFrame([("a", 5), ("b", 4), ("c", 3)], "g string, num_nodes int")
+    edges = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 0, 4), ("b", 2, 3), ("b", 0, 3)], "g string, u int, v int")
+    found = wl.wl_features_by_graph(graphs, edges, ["g"], 2)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wl.wl_features(graphs, edges, ["g"], 2).collect()))
+    monkeypatch.setattr(vectors, "ROWS_PACK", 1)
+    out = vectors.gram(found, [], "g")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode" not in plan
+    assert {(r.i, r.j) for r in out.collect()} >= {("a", "a"), ("a", "b"), ("b", "b"), ("c", "c")}
